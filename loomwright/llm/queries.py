@@ -14,12 +14,24 @@ from loomwright.llm.cross_split import overlaps
 from loomwright.llm.near_duplicates import classes_and_links, expand_pairs
 from loomwright.llm.pieces import Limits, split_oversized
 from loomwright.llm.shared_spans import shared_share, shared_spans
+from loomwright.llm.sources import judge_files
 from loomwright.llm.tokens import token_counts, token_ids
 from loomwright.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONTENTS = ["old_contents", "new_contents"]
 
+# --- 1: source that isn't hand-written ---
+
+
+def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return judge_files(table(spark, d, "pair_source_a"), table(spark, d, "repository_item"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_verdicts(spark, d).where("verdict <> 'handwritten'").select("pair_id")
+
+
 # --- 2: near-duplicate commit pairs ---
 
 
@@ -171,6 +183,8 @@ select id as candidate_seq from s where c in (select c from s group by c having
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_verdicts": p1_verdicts,
         "p2_found": p2_found,
         "p2_groups": p2_groups,
         "p3_found": p3_found,
