@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.llm import components as comp
 from loomwright.llm.containers import fill_containers
 from loomwright.llm.cross_split import overlaps
+from loomwright.llm.licences import licences
 from loomwright.llm.near_duplicates import classes_and_links, expand_pairs
 from loomwright.llm.pieces import Limits, split_oversized
 from loomwright.llm.shared_spans import shared_share, shared_spans
@@ -95,6 +96,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 1").select("id")
 
 
+# --- 5: licences of files and repositories ---
+
+
+def p5_licences(spark: SparkSession, d: str) -> DataFrame:
+    return licences(table(spark, d, "pair_source_a"), table(spark, d, "repository_item"), table(spark, d, "license_catalogue"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_licences(spark, d).where("finding is not null").select("scope", "item_key", "finding")
+
+
 # --- 6: splits of related candidates ---
 
 
@@ -191,6 +203,8 @@ def queries() -> dict[str, Query]:
         "p3_counts": p3_counts,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p5_found": p5_found,
+        "p5_licences": p5_licences,
         "p6_found": p6_found,
         "p6_splits": p6_splits,
         "p7_ids": p7_ids,
