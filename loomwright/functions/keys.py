@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,8 +114,12 @@ def closing_references(text: Column, own: Column) -> Column:
     pattern = r"(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b\s*:?\s*(?:([\w.-]+/[\w.-]+))?#(\d+)\b"
     repos = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    mine = F.filter(F.arrays_zip(repos.alias("r"), numbers.alias("n")), lambda x: (x["0"] == "") | (F.lower(x["0"]) == F.lower(own)))
-    return F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["1"].cast("long"))))
+    mine = F.filter(F.arrays_zip(repos.alias("r"), numbers.alias("n")), lambda x: (x["r"] == "") | (F.lower(x["r"]) == F.lower(own)))
+    return F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["n"].cast("long"))))
+
+
+def _starts_with(prefix: str) -> Callable[[Column], Column]:
+    return lambda w: w.startswith(prefix)
 
 
 def keyword_hit(text: Column, words: Sequence[str], prefixes: Sequence[str] = ()) -> Column:
@@ -123,7 +127,7 @@ def keyword_hit(text: Column, words: Sequence[str], prefixes: Sequence[str] = ()
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]+)"), F.lit(1))
     hit = F.arrays_overlap(found, F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
     for p in prefixes:
-        hit = hit | F.exists(found, lambda w, p=p: w.startswith(p))
+        hit = hit | F.exists(found, _starts_with(p))
     return F.coalesce(hit, F.lit(False))
 
 
