@@ -22,9 +22,9 @@ def expect_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def expect_indices(df: DataFrame, case: str, index: str, size: int) -> DataFrame:
     """(case, missing, extra, repeated) of the cases whose indices aren't exactly 0 .. size-1."""
     want = F.sequence(F.lit(0), F.lit(size - 1))
-    one = df.select(case, F.col(index).cast("int").alias("i")).groupBy(case, "i").agg(F.count(F.lit(1)).alias("c"))
-    inside = F.col("i").between(0, size - 1)
-    g = one.groupBy(case).agg(F.count_if(inside).alias("have"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("extra"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated"))
+    one = df.select(case, F.col(index).cast("int").alias("_i")).groupBy(case, "_i").agg(F.count(F.lit(1)).alias("_c"))
+    inside = F.col("_i").between(0, size - 1)
+    g = one.groupBy(case).agg(F.count_if(inside).alias("have"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("extra"), F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("repeated"))
     return g.select(case, (F.size(want) - F.col("have")).alias("missing"), "extra", "repeated").where("missing > 0 or extra > 0 or repeated > 0")
 
 

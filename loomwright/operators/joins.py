@@ -15,10 +15,10 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def key_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(both, only_left, only_right): how far a join on the key is complete on both sides."""
-    a = left.select(key, F.lit(1).alias("a")).distinct()
-    b = right.select(key, F.lit(1).alias("b")).distinct()
+    a = left.select(key, F.lit(1).alias("_a")).distinct()
+    b = right.select(key, F.lit(1).alias("_b")).distinct()
     j = a.join(b, key, "full")
-    return j.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"))
+    return j.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"), F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right"))
 
 
 def flagged(df: DataFrame, others: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -42,19 +42,19 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: objec
 
 def row_differences(left: DataFrame, right: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(key..., status): ``missing``, ``extra`` or ``changed``; equal rows give none. Nulls are equal to nulls."""
-    a = left.select(*key, F.struct(*columns).alias("a"), F.lit(1).alias("ia"))
-    b = right.select(*key, F.struct(*columns).alias("b"), F.lit(1).alias("ib"))
-    status = F.when(F.col("ib").isNull(), "missing").when(F.col("ia").isNull(), "extra").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    a = left.select(*key, F.struct(*columns).alias("_a"), F.lit(1).alias("_ia"))
+    b = right.select(*key, F.struct(*columns).alias("_b"), F.lit(1).alias("_ib"))
+    status = F.when(F.col("_ib").isNull(), "missing").when(F.col("_ia").isNull(), "extra").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
     return a.join(b, list(key), "full").select(*key, status.alias("status")).where("status is not null")
 
 
 def merge_caches(own: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, conflict): own value first; ``conflict`` where both have the key with different values."""
-    a = own.select(key, F.col(value).alias("a"), F.lit(1).alias("ia"))
-    b = other.select(key, F.col(value).alias("b"), F.lit(1).alias("ib"))
-    both = F.col("ia").isNotNull() & F.col("ib").isNotNull()
+    a = own.select(key, F.col(value).alias("_a"), F.lit(1).alias("_ia"))
+    b = other.select(key, F.col(value).alias("_b"), F.lit(1).alias("_ib"))
+    both = F.col("_ia").isNotNull() & F.col("_ib").isNotNull()
     j = a.join(b, key, "full")
-    return j.select(key, F.when(F.col("ia").isNotNull(), F.col("a")).otherwise(F.col("b")).alias(value), (both & ~F.col("a").eqNullSafe(F.col("b"))).alias("conflict"))
+    return j.select(key, F.when(F.col("_ia").isNotNull(), F.col("_a")).otherwise(F.col("_b")).alias(value), (both & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("conflict"))
 
 
 def pending(work: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -50,30 +50,30 @@ def floor_percentile(df: DataFrame, value: str, fractions: Sequence[float], by:
 
     Values are counted first and their running counts compared, so a group's rows aren't collected.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("u", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    upto = counts.withColumn("_u", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
     asked = upto.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    at = F.floor((F.col("n") - 1) * F.col("fraction"))
-    return asked.where((at < F.col("u")) & (at >= F.col("u") - F.col("c"))).select(*by, "fraction", F.col(value).alias("value"))
+    at = F.floor((F.col("_n") - 1) * F.col("fraction"))
+    return asked.where((at < F.col("_u")) & (at >= F.col("_u") - F.col("_c"))).select(*by, "fraction", F.col(value).alias("value"))
 
 
 def ks_distance(df: DataFrame, value: str, sample: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., ks): the greatest distance of two samples' distribution functions; null if a sample is empty."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(sample) == first).alias("a"), F.count_if(F.col(sample) == second).alias("b"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(sample) == first).alias("_a"), F.count_if(F.col(sample) == second).alias("_b"))
     w = Window.partitionBy(*by).orderBy(value)
     whole = Window.partitionBy(*by)
-    run = counts.select(*by, F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    gap = F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))
+    run = counts.select(*by, F.sum("_a").over(w).alias("_ca"), F.sum("_b").over(w).alias("_cb"), F.sum("_a").over(whole).alias("_na"), F.sum("_b").over(whole).alias("_nb"))
+    gap = F.abs(F.try_divide("_ca", "_na") - F.try_divide("_cb", "_nb"))
     return run.groupBy(*by).agg(F.max(gap).alias("ks"))
 
 
 def total_variation(df: DataFrame, label: str, sample: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., tv): half the sum of the differences of the labels' shares; a null label is a label."""
-    counts = df.groupBy(*by, label).agg(F.count_if(F.col(sample) == first).alias("a"), F.count_if(F.col(sample) == second).alias("b"))
+    counts = df.groupBy(*by, label).agg(F.count_if(F.col(sample) == first).alias("_a"), F.count_if(F.col(sample) == second).alias("_b"))
     whole = Window.partitionBy(*by)
-    run = counts.select(*by, "a", "b", F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    return run.groupBy(*by).agg((F.sum(F.abs(F.try_divide("a", "na") - F.try_divide("b", "nb"))) / 2).alias("tv"))
+    run = counts.select(*by, "_a", "_b", F.sum("_a").over(whole).alias("_na"), F.sum("_b").over(whole).alias("_nb"))
+    return run.groupBy(*by).agg((F.sum(F.abs(F.try_divide("_a", "_na") - F.try_divide("_b", "_nb"))) / 2).alias("tv"))
 
 
 def binned(value: Column, edges: Sequence[float]) -> Column:
@@ -98,9 +98,9 @@ def percentile_rank(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
 
     Taken over distinct values, whose running counts are few next to the rows, and joined back.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
-    ranks = counts.select(value, (F.sum("c").over(Window.orderBy(value)) / total).alias("rank"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    total = F.sum("_c").over(Window.partitionBy())
+    ranks = counts.select(value, (F.sum("_c").over(Window.orderBy(value)) / total).alias("rank"))
     return df.join(ranks, value).select(*key, value, "rank")
 
 
@@ -149,13 +149,13 @@ def bootstrap(pairs: DataFrame, by: Sequence[str], before: str, after: str, orde
     """
     import numpy as np
 
-    diff = (F.col(after).cast("double") - F.col(before).cast("double")).alias("d")
-    counts = pairs.select(*by, diff).where("d is not null").groupBy(*by, "d").agg(F.count(F.lit(1)).alias("c"))
+    diff = (F.col(after).cast("double") - F.col(before).cast("double")).alias("_d")
+    counts = pairs.select(*by, diff).where("_d is not null").groupBy(*by, "_d").agg(F.count(F.lit(1)).alias("_c"))
     tail = (1 - level) / 2
 
     def draw(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("d")
-        d, c = part["d"].to_numpy(), part["c"].to_numpy()
+        part = part.sort_values("_d")
+        d, c = part["_d"].to_numpy(), part["_c"].to_numpy()
         n = int(c.sum())
         name = "\x00".join(str(part[b].iloc[0]) for b in by)
         rng = np.random.Generator(np.random.PCG64([seed, *name.encode()]))

@@ -21,7 +21,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no from 1, raw) of text files; a file is one record, so numbers are exact. For files that a task
     can hold (shards); larger ones need no numbers or were written with them."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     rows = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "raw"))
     return rows.select("file", (F.col("i") + 1).alias("line_no"), "raw")
 

@@ -36,7 +36,7 @@ def publish(df: DataFrame, path: str) -> bool:
     fs, target = _fs(spark, path)
     if fs.exists(target):
         have = spark.read.parquet(path)
-        if have.schema != df.schema or not have.exceptAll(df).isEmpty() or not df.exceptAll(have).isEmpty():
+        if have.schema.simpleString() != df.schema.simpleString() or not have.exceptAll(df).isEmpty() or not df.exceptAll(have).isEmpty():
             raise FileExistsError(f"{path} holds other rows")
         return False
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
