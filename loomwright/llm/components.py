@@ -33,21 +33,17 @@ def components(edges: DataFrame) -> DataFrame:
     labelled, parts, meetings = frontier, [frontier], []
     links = adjacency.select("u", "v")
     while True:
-        reached = frontier.join(links, frontier["node"] == links["u"]).select(F.col("v").alias("node"), "label")
-        reached = reached.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        have = labelled.select(F.col("node").alias("n2"), F.col("label").alias("old"))
-        step = staged(reached.join(have, F.col("node") == F.col("n2"), "left").select("node", "lo", "hi", "old"), "step")
-        # all labels that met at a node are joined through its own (or new) label; min and max of a step suffice
-        # only if no third label came along, so every arriving label is linked below from the frontier itself
-        fresh = step.where("old is null").select("node", F.col("lo").alias("label"))
-        own = step.where("lo <> hi or (old is not null and (lo <> old or hi <> old))").select("node", F.coalesce("old", "lo").alias("mine"))
-        arrived = frontier.join(links, frontier["node"] == links["u"]).select(F.col("v").alias("node"), "label")
-        meet = arrived.join(own, "node").where("label <> mine").select(F.least("label", "mine").alias("u"), F.greatest("label", "mine").alias("v")).distinct()
-        meetings.append(staged(meet, "meetings"))
-        frontier = staged(fresh, "frontier")
+        arrived = frontier.join(links, frontier["node"] == links["u"]).select(F.col("v").alias("node"), "label").distinct()
+        first = arrived.groupBy("node").agg(F.min("label").alias("lo"))
+        have = labelled.select("node", F.col("label").alias("old"))
+        mine = first.join(have, "node", "left").select("node", F.coalesce("old", "lo").alias("mine"), F.col("old").isNull().alias("fresh"))
+        step = staged(arrived.join(mine, "node"), "step")
+        parts.append(step)
+        # where another search's label comes to a node, the two labels meet
+        meetings.append(step.where("label <> mine").select(F.least("label", "mine").alias("u"), F.greatest("label", "mine").alias("v")))
+        frontier = step.where("fresh and label = mine").select("node", "label")
         if frontier.isEmpty():
             break
-        parts.append(frontier)
         labelled = labelled.unionByName(frontier)
     small = meetings[0]
     for m in meetings[1:]:
@@ -59,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
         upper = components(small).select(F.col("node").alias("label"), "component")
         named = labelled.join(upper, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
     named = staged(named, "components")
-    for done in [*parts, *meetings, small, adjacency]:
+    for done in [*parts, small, adjacency]:
         unstage(done)
     return named.unionByName(alone.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))
 
