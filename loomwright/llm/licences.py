@@ -51,6 +51,7 @@ _LATER = re.compile(r"\b(?:-or-later|-only|or[ -]later|or[ -]newer|only)\b|,?\s*
 _STOP = {".", ";", "!", "?"}
 _LINK = {"or", "/", "|", "the", "a", "an", "under", "license", "licenses", "alternatively", "at", "your", "option", "choice", "terms", "of", "either", "clause", "this", "software", "with", "exception"}
 _NOT = {"not", "never", "isn", "aren", "doesn", "neither", "nor", "cannot", "nicht", "kein", "keine", "without"}
+_REACH = {"under", "the", "license", "covered", "by", "offered", "available", "distributed", "released", "governed", "shared", "subject", "to", "granted", "grant", "a", "an", "any", "in", "way", "longer", "used", "use", "permitted", "terms", "of", "be", "t", "is", "are", "it", "part", "fall", "conditions", "as", "for", "or", "version"}
 _HINT = {"license", "identifier", "under", "governed", "by", "as", "pick", "either", "or", "copyright", "terms", "use", "the", "of", "and", "spdx", "offered", "copying", "is", "are", "it"}
 _EDGE = {"or", "the", "as", "v", "version", "of", "by"}
 _PLAIN = {"mit", "isc", "zlib", "expat"}
@@ -131,7 +132,7 @@ class LicenceModel:
                 z = np.zeros(len(self.classes))
                 grams = _grams(span)
                 known = [self.features[g] for g in grams if g in self.features]
-                if len(known) >= 0.6 * len(grams):
+                if len(known) >= 0.8 * len(grams):
                     z = self.weights[known].sum(axis=0) / np.sqrt(len(known))
                     p = np.exp(z - z.max())
                     p /= p.sum()
@@ -168,19 +169,20 @@ class LicenceModel:
                     refused, link, since = False, False, []
                 else:
                     since.append(w)
-                    refused = refused or w in _NOT
                 i += 1
                 continue
             named, size = best
             span = flat[i : i + size]
             before = flat[max(0, i - 4) : i]
-            loose = not bare and len(span) == 1 and span[0] in _PLAIN and not (set(before) & _HINT) and flat[i + size : i + size + 1] not in (["license"], ["terms"])
+            loose = not bare and len(span) == 1 and span[0] in _PLAIN and not (set(before) & _HINT) and flat[i + size : i + size + 1] not in (["license"], ["terms"], ["/"], ["|"]) and before[-1:] not in (["/"], ["|"])
             if not loose:
                 joined = end >= 0 and ("or" in since or "/" in since or "|" in since) and all(s in _LINK for s in since)
                 after = flat[i + size : i + size + 4]
                 gone = ("not" in after or "doesn" in after) and bool({"apply", "applies", "granted", "used", "valid"} & set(flat[i + size : i + size + 6]))
-                if not joined and end >= 0:
-                    refused = bool(set(since) & _NOT)
+                if not joined:
+                    # a refusal reaches a name over words that speak of granting, not over other words
+                    no = max((k for k, x in enumerate(since) if x in _NOT), default=None)
+                    refused = no is not None and all(x in _REACH for x in since[no + 1 :])
                 if not refused and not gone and named != "other":
                     if joined and link and out:
                         if named not in out[-1]:
