@@ -146,3 +146,23 @@ def test_fingerprints(spark):
     assert df.agg(metrics.fingerprint(F.col("x"))).first()[0] == hashlib.sha256(b"a\nb\n").hexdigest()
     assert df.where("false").agg(metrics.fingerprint(F.col("x"))).first()[0] == hashlib.sha256(b"").hexdigest()
     assert tuple(metrics.fingerprint_sums(df, "x").first()) == tuple(metrics.fingerprint_sums(df.repartition(3).distinct(), "x").first())
+
+
+def test_alternate_takes_turns(spark):
+    from loomwright.operators import nested
+
+    data = [(1, "a", "r1"), (2, "a", "r2"), (3, "b", "r1"), (4, "b", "r3"), (5, "c", "r2"), (6, "c", "r4"), (7, "a", "r5")]
+    df = spark.createDataFrame(data, "i int, s string, u string")
+    got = [r["i"] for r in nested.alternate(df, "s", "u", "i", "i", 5).orderBy("place").collect()]
+    assert got == [1, 4, 5, 7, 6]
+    assert nested.alternate(df.where("false"), "s", "u", "i", "i", 5).count() == 0
+
+
+def test_compact_and_accepted(spark):
+    from loomwright.operators import nested
+
+    df = spark.sql("select array(named_struct('status', 'pass', 'matched', true, 'timed_out', false), named_struct('status', 'tle', 'matched', null, 'timed_out', true)) as o")
+    assert tuple(df.select(nested.compact(F.col("o"), ["pass", "re"])).first()[0]) == (2, 1, 1, 1, 0)
+    rows_ = spark.createDataFrame([("x", "p", True), ("x", "h", True), ("y", "p", True), ("z", "p", True), ("z", "h", None)], "c string, s string, ok boolean")
+    got = nested.accepted(rows_, "c", {"p": F.col("s") == "p", "h": F.col("s") == "h"}, F.col("ok"))
+    assert sorted((r["c"], r["accepted"]) for r in got.collect()) == [("x", True), ("y", False), ("z", False)]
