@@ -4,19 +4,42 @@ Records are related through shared keys. The keys and the records' key pairs for
 found by frontier breadth-first search from many seeds at once: adjacency lists are hash-partitioned, every node
 that has no neighbour of lesser hash is a seed (so each component has one), and all frontiers advance together.
 Where two searches meet, the seeds' labels are joined by an edge of a label graph, which has at most half as many
-nodes and is solved the same way. No node list, link or component comes to the driver, only counts.
+nodes and is solved the same way, or within one task where it is small. No node list, link or component comes to
+the driver, only counts.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.session import staged, unstage
 
 
+#: A label graph of at most so many edges (some 100 MB) is solved within one task; a larger one like the graph itself.
+ONE_TASK_EDGES = 500_000
+
+
+def _union_find(edges: pd.DataFrame) -> pd.DataFrame:
+    """(label, component): each label with the least label that it hangs together with."""
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for u, v in zip(edges["u"], edges["v"], strict=True):
+        a, b = sorted((top(u), top(v)))
+        up[b] = a
+    labels = list(up)
+    return pd.DataFrame({"label": labels, "component": [top(x) for x in labels]})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (u, v: strings, null-free); component is one of its nodes.
+    """(node, component) for the nodes of ``edges`` (u, v: strings, null-free); component is the least of its seeds.
 
     The component's name doesn't depend on partitioning or row order. Loops and repeated edges do no harm.
     """
@@ -49,10 +72,16 @@ def components(edges: DataFrame) -> DataFrame:
     for m in meetings[1:]:
         small = small.unionByName(m)
     small = staged(small.distinct(), "labels")
-    if small.isEmpty():
+    met = small.count()
+    if not met:
         named = labelled.select("node", F.col("label").alias("component"))
     else:
-        upper = components(small).select(F.col("node").alias("label"), "component")
+        if met <= ONE_TASK_EDGES:
+            upper = small.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_union_find, "label string, component string")
+        else:
+            found = components(small)
+            least = found.groupBy("component").agg(F.min("node").alias("least"))
+            upper = found.join(least, "component").select(F.col("node").alias("label"), F.col("least").alias("component"))
         named = labelled.join(upper, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
     named = staged(named, "components")
     for done in [*parts, small, adjacency]:
@@ -85,7 +114,10 @@ def related_sets(df: DataFrame, key: str, keys: dict[str, Column]) -> DataFrame:
     A null key value relates nothing. A record without any key is a set of its own.
     """
     names = list(keys)
-    tagged = df.select(F.col(key).alias("id"), *[F.when(c.isNotNull(), F.concat(F.lit(f"{n}:"), c)).alias(f"key_{i}") for i, (n, c) in enumerate(keys.items())])
+    # concat gives null for a null key, without a second look at it
+    tagged = df.select(F.col(key).alias("id"), *[F.concat(F.lit(f"{n}:"), c).alias(f"key_{i}") for i, (n, c) in enumerate(keys.items())])
+    # read three times below, so that the keys' patterns run once a row
+    tagged = staged(tagged, "keys")
     cols = [f"key_{i}" for i in range(len(names))]
     first = F.coalesce(*cols)
     pairs = None

@@ -25,8 +25,10 @@ def parts(edges):
     return {frozenset(v) for v in out.values()}
 
 
+@pytest.mark.parametrize("edges_in_a_task", [500_000, 0])
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "loops"])
-def test_components_equal_union_find(spark, shape):
+def test_components_equal_union_find(spark, monkeypatch, shape, edges_in_a_task):
+    monkeypatch.setattr(c, "ONE_TASK_EDGES", edges_in_a_task)
     rnd = random.Random(7)
     edges = {
         "random": [(f"n{rnd.randrange(70)}", f"n{rnd.randrange(70)}") for _ in range(60)],
