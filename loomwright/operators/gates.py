@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.operators.totals import with_totals
+
 SLACK = 1e-12
 
 
@@ -45,8 +47,6 @@ def reachable(rows: DataFrame, part: str, group: str, qualified: Column, remaini
 
 def share_limits(df: DataFrame, group: str, most: float) -> DataFrame:
     """(group, n, share, over): groups' shares of all rows against a limit."""
-    from pyspark.sql import Window
-
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())
+    counts = with_totals(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), [], {"_all": F.sum("n")})
+    share = F.col("n") / F.col("_all")
     return counts.select(group, "n", share.alias("share"), above(share, most).alias("over"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.keys import rate
+from loomwright.operators.totals import with_running, with_totals
 
 
 def sliced(df: DataFrame, levels: Sequence[str], counts: dict[str, Column], rates: Sequence[str] = ()) -> DataFrame:
@@ -51,8 +52,7 @@ def floor_percentile(df: DataFrame, value: str, fractions: Sequence[float], by:
     Values are counted first and their running counts compared, so a group's rows aren't collected.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("_u", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    upto = with_totals(with_running(counts, by, [value], {"_u": "_c"}), by, {"_n": F.sum("_c")})
     asked = upto.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     at = F.floor((F.col("_n") - 1) * F.col("fraction"))
     return asked.where((at < F.col("_u")) & (at >= F.col("_u") - F.col("_c"))).select(*by, "fraction", F.col(value).alias("value"))
@@ -61,9 +61,7 @@ def floor_percentile(df: DataFrame, value: str, fractions: Sequence[float], by:
 def ks_distance(df: DataFrame, value: str, sample: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., ks): the greatest distance of two samples' distribution functions; null if a sample is empty."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(sample) == first).alias("_a"), F.count_if(F.col(sample) == second).alias("_b"))
-    w = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    run = counts.select(*by, F.sum("_a").over(w).alias("_ca"), F.sum("_b").over(w).alias("_cb"), F.sum("_a").over(whole).alias("_na"), F.sum("_b").over(whole).alias("_nb"))
+    run = with_totals(with_running(counts, by, [value], {"_ca": "_a", "_cb": "_b"}), by, {"_na": F.sum("_a"), "_nb": F.sum("_b")})
     gap = F.abs(F.try_divide("_ca", "_na") - F.try_divide("_cb", "_nb"))
     return run.groupBy(*by).agg(F.max(gap).alias("ks"))
 
@@ -71,8 +69,7 @@ def ks_distance(df: DataFrame, value: str, sample: str, first: str, second: str,
 def total_variation(df: DataFrame, label: str, sample: str, first: str, second: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., tv): half the sum of the differences of the labels' shares; a null label is a label."""
     counts = df.groupBy(*by, label).agg(F.count_if(F.col(sample) == first).alias("_a"), F.count_if(F.col(sample) == second).alias("_b"))
-    whole = Window.partitionBy(*by)
-    run = counts.select(*by, "_a", "_b", F.sum("_a").over(whole).alias("_na"), F.sum("_b").over(whole).alias("_nb"))
+    run = with_totals(counts, by, {"_na": F.sum("_a"), "_nb": F.sum("_b")})
     return run.groupBy(*by).agg((F.sum(F.abs(F.try_divide("_a", "_na") - F.try_divide("_b", "_nb"))) / 2).alias("tv"))
 
 
@@ -89,8 +86,8 @@ def group_success(df: DataFrame, dimensions: Sequence[str], success: Column) ->
     """(dimension, level, total, success, success_rate, share_of_successes) over several dimensions in one pass."""
     flat = df.select(F.when(F.coalesce(success, F.lit(False)), 1).alias("s"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("level")) for d in dimensions])).alias("d"))
     counts = flat.groupBy("d.dimension", "d.level").agg(F.count(F.lit(1)).alias("total"), F.count("s").alias("success"))
-    whole = F.sum("success").over(Window.partitionBy("dimension"))
-    return counts.select("dimension", "level", "total", "success", rate(F.col("success"), F.col("total")).alias("success_rate"), rate(F.col("success"), whole).alias("share_of_successes"))
+    counts = with_totals(counts, ["dimension"], {"_all": F.sum("success")})
+    return counts.select("dimension", "level", "total", "success", rate(F.col("success"), F.col("total")).alias("success_rate"), rate(F.col("success"), F.col("_all")).alias("share_of_successes"))
 
 
 def percentile_rank(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
@@ -99,8 +96,8 @@ def percentile_rank(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
     Taken over distinct values, whose running counts are few next to the rows, and joined back.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    total = F.sum("_c").over(Window.partitionBy())
-    ranks = counts.select(value, (F.sum("_c").over(Window.orderBy(value)) / total).alias("rank"))
+    run = with_totals(with_running(counts, [], [value], {"_u": "_c"}), [], {"_all": F.sum("_c")})
+    ranks = run.select(value, (F.col("_u") / F.col("_all")).alias("rank"))
     return df.join(ranks, value).select(*key, value, "rank")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.keys import nul_joined
+from loomwright.operators.totals import join_nulls, with_running, with_totals
 from loomwright.session import staged
 
 
@@ -89,25 +90,22 @@ def cumulative_split(df: DataFrame, order: Sequence[Column], size: str, phases:
 
     The rows are groups (projects, repositories), already aggregated, and ordered as one sequence.
     """
-    w = Window.orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_s", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn("_t", F.sum(size).over(Window.partitionBy()))
-    # one row decides where each phase ends, so a phase's end is a scalar of the phase before
-    split = F.lit(rest)
-    ends: list[Column] = []
-    start_i, start_s = F.lit(0), F.lit(0)
-    conditions = []
+    named = df.select(*df.columns, *[o.alias(f"_o{i}") for i, o in enumerate(order)], F.lit(1).alias("_1"))
+    out = with_running(named, [], [f"_o{i}" for i in range(len(order))], {"_i": "_1", "_s": size})
+    out = with_totals(out.withColumn("_i", F.col("_i") - 1).withColumn("_s", F.col("_s") - F.col(size)), [], {"_t": F.sum(size), "_n": F.count(F.lit(1))})
+    split, start = F.lit(rest), (F.lit(0), F.lit(0))
+    inside = []
     for n, (name, least, share) in enumerate(phases):
-        enough = (F.col("_i") - start_i >= least) & (F.col("_s") - start_s >= F.ceil(F.col("_t") * share - 1e-9))
-        over_all = Window.partitionBy()
-        end = F.coalesce(F.min(F.when((F.col("_i") >= start_i) & enough, F.struct("_i", "_s"))).over(over_all), F.struct((F.max("_i").over(over_all) + 1).alias("_i"), F.col("_t").cast("long").alias("_s")))
-        out = out.withColumn(f"_e{n}", end)
-        conditions.append((name, F.col("_i") < F.col(f"_e{n}._i")))
-        start_i, start_s = F.col(f"_e{n}._i"), F.col(f"_e{n}._s")
-        ends.append(end)
-    for name, inside in reversed(conditions):
-        split = F.when(inside, name).otherwise(split)
-    return out.withColumn("split", split).drop("_i", "_s", "_t", *[f"_e{n}" for n in range(len(ends))])
+        enough = (F.col("_i") - start[0] >= least) & (F.col("_s") - start[1] >= F.ceil(F.col("_t") * share - 1e-9))
+        # one row decides where a phase ends; if none is enough, it goes to the end
+        end = out.agg(F.min(F.when((F.col("_i") >= start[0]) & enough, F.struct("_i", "_s"))).alias(f"_e{n}"))
+        out = join_nulls(out, end, [])
+        at = F.coalesce(F.col(f"_e{n}._i"), F.col("_n"))
+        start = (at, F.coalesce(F.col(f"_e{n}._s"), F.col("_t")))
+        inside.append((name, F.col("_i") < at))
+    for name, condition in reversed(inside):
+        split = F.when(condition, name).otherwise(split)
+    return out.select(*df.columns, split.alias("split"))
 
 
 def best_and_worst(df: DataFrame, group: Sequence[str], rank: Sequence[str], index: str) -> DataFrame:
