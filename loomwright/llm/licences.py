@@ -46,8 +46,8 @@ NOTHING = ("license", "software license", "public license", "general public lice
 SURE, MOST_WORDS = 0.8, 9
 
 _FOLD = ((re.compile(r"licen[cs]e[sd]?\b|lizenz\b"), "license"), (re.compile(r"\bv(?:er)?\.(?=\s*\d)"), "v "), (re.compile(r"\bversion(?=\d)"), "version "))
-_TOKEN = re.compile(r"[a-z]+|\d+(?:\.\d+)*|\n|[.;:!?](?=\s|$)|\+|/|\||&")
-_LATER = re.compile(r"\b(?:-or-later|-only|or[ -]later|or[ -]newer|only)\b|,?\s*(?:or|\(at your option\)|at your option|either|,|\s)*\bany later version\b|(?<=\d)\+", re.I)
+_TOKEN = re.compile(r"[a-z]+|\d+(?:\.\d+)*|[.;:!?](?=\s|$)|\+|/|\||&")
+_LATER = re.compile(r"-?\b(?:or[ -]later|or[ -]newer|only)\b|(?:,? ?\bor,? )?(?:\(?at your option\)?,? )?\bany later version\b|(?<=\d)\+", re.I)
 _STOP = {".", ";", "!", "?"}
 _LINK = {"or", "/", "|", "the", "a", "an", "under", "license", "licenses", "alternatively", "at", "your", "option", "choice", "terms", "of", "either", "clause", "this", "software", "with", "exception"}
 _NOT = {"not", "never", "isn", "aren", "doesn", "neither", "nor", "cannot", "nicht", "kein", "keine", "without"}
@@ -59,7 +59,7 @@ _PLAIN = {"mit", "isc", "zlib", "expat"}
 
 def tokens(text: str) -> list[str]:
     """Words of a statement: lower case, one spelling of licence, versions without ``.0``, names split at digits."""
-    x = _LATER.sub(" ", text).lower()
+    x = _LATER.sub(" ", " ".join(text.split())).lower()
     for pattern, by in _FOLD:
         x = pattern.sub(by, x)
     out = []
@@ -150,8 +150,7 @@ class LicenceModel:
 
         ``bare`` is for a field that holds a name and nothing else, where no grammar is needed to see a grant.
         """
-        t = tokens(text)
-        flat = [w for w in t if w != "\n"]
+        flat = tokens(text)
         out: list[list[str]] = []
         i, end, refused, link = 0, -1, False, False
         since: list[str] = []
