@@ -87,7 +87,7 @@ def rejects_before_accepted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "merge_provenance",
-    """with o as (select *, row_number() over (partition by candidate_id order by updated_at, candidate_seq) as n from pr_candidate),
+    """with o as (select *, row_number() over (partition by candidate_id order by updated_at nulls first, candidate_seq) as n from pr_candidate),
        q as (select candidate_id, unnest(query_ids) as q from pr_candidate),
        u as (select candidate_id, array_to_string(list_sort(list_distinct(list(q))), ',') as queries from q group by 1)
        select o.candidate_id, o.candidate_seq, o.pr_number, coalesce(u.queries, '') as queries from o left join u using (candidate_id) where n = 1 and o.candidate_id is not null""",

@@ -73,7 +73,7 @@ def stratum_prefix(spark: SparkSession, d: str) -> DataFrame:
     return select.stratum_prefix(rows, "c_mktsegment", [select.hash_order("st", F.col("c_custkey")), F.col("c_custkey")], {"BUILDING": 40, "AUTOMOBILE": 20, "MACHINERY": 100000})[0].select("c_custkey")
 
 
-@query("stratum_shortfall", "with c as (select c_mktsegment as s, count(*) as n from customer group by 1) select s as stratum, 100000 as wanted, 100000 - n as missing from c where s = 'MACHINERY'")
+@query("stratum_shortfall", "with c as (select c_mktsegment as s, count(*) as n from customer group by 1), q(s, w) as (values ('BUILDING', 40), ('AUTOMOBILE', 20), ('MACHINERY', 100000)) select q.s as stratum, w::bigint as wanted, w - coalesce(n, 0) as missing from q left join c on c.s = q.s where w > coalesce(n, 0)")
 def stratum_shortfall(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     return select.stratum_prefix(rows, "c_mktsegment", [F.col("c_custkey")], {"BUILDING": 40, "AUTOMOBILE": 20, "MACHINERY": 100000})[1]
