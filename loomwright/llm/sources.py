@@ -1,7 +1,8 @@
 """Generated, minified, vendored and data files among hand-written source.
 
-Vendored files are found by an inverted index of line hashes: a line that stands in files of two projects points each
-of them to one file of another project, and the containment of a file's lines in that file is then counted exactly.
+Vendored files are found by an inverted index of line hashes. A line that stands in files of two projects points to the
+files at both ends of its holders; a file that is no copy of these is looked up by its rarest lines, as many as the
+containment makes necessary, so that no holder of enough of its lines is left out. Containment is counted exactly.
 Which side is the original follows from the names that the files give themselves (namespace, header, copyright) and
 their projects. The other kinds are told by the composition of the file: a generator's mark in its opening or closing
 comment (never in code or strings), lines of few shapes repeated over and over, long lines without spaces, or a body
@@ -27,8 +28,10 @@ from loomwright.session import staged
 LINE_OCTETS = 24
 #: A file is a copy if this share of its counting lines, and at least this many, stand in one file of another project.
 CONTAINED, CONTAINED_LINES = 0.5, 4
-#: A file is a candidate if this share of its lines points to one file; at most 5 files can have it.
+#: A file is first compared with files that this share of its lines points to; what that leaves open is searched in full.
 POINTED = 0.2
+#: Holders of a line that one key of the search has at most, about; a line with more is spread over several.
+SALTED = 1000
 
 # Folders in which projects keep other projects' code.
 VENDOR_FOLDERS = ("3rdparty", "3rd_party", "bower_components", "bundled", "contrib", "deps", "extern", "external", "externals", "node_modules", "subprojects", "submodules", "third-party", "third_party", "thirdparty", "vendor", "vendored", "vendors")
@@ -178,31 +181,80 @@ def judge_files(pairs: DataFrame, repositories: DataFrame) -> DataFrame:
 
     seen = picked.mapInPandas(look, "pair_id long, repository string, path string, at string, kind string, names array<string>, owners array<string>, lines array<long>")
     seen = staged(seen, "looked")
-    rooted = seen.drop("lines").join(roots(repositories), "repository", "left").withColumn("root", F.coalesce("root", "repository", F.lit("")))
-    rooted = staged(rooted.withColumn("rh", F.xxhash64("root")), "rooted")
-    lines = seen.select("pair_id", "lines").join(rooted.select("pair_id", "rh"), "pair_id").select("pair_id", "rh", F.size("lines").alias("n"), F.explode("lines").alias("line"))
-    at = F.struct("rh", "pair_id")
-    ends = lines.groupBy("line").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo.rh <> hi.rh")
-    other = F.when(F.col("rh") == F.col("lo.rh"), F.col("hi.pair_id")).otherwise(F.col("lo.pair_id"))
-    pointed = lines.join(ends, "line").groupBy("pair_id", other.alias("other")).agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    candidates = staged(pointed.where((F.col("k") >= POINTED * F.col("n")) & (F.col("n") >= CONTAINED_LINES)).select("pair_id", "other"), "pointed")
-    mine = seen.select("pair_id", "lines")
-    held = candidates.join(mine, "pair_id").join(mine.select(F.col("pair_id").alias("other"), F.col("lines").alias("theirs")), "other")
-    shared = F.size(F.array_intersect("lines", "theirs"))
-    held = held.withColumn("shared", shared).where((F.col("shared") >= CONTAINED * F.size("lines")) & (F.col("shared") >= CONTAINED_LINES))
-    best = held.groupBy("pair_id").agg(F.max(F.struct("shared", F.col("other").alias("other"))).alias("b")).select("pair_id", F.col("b.other").alias("other"))
-
+    sets = F.size("lines").alias("n"), F.xxhash64("lines").alias("k1"), F.xxhash64(F.lit("lines"), "lines").alias("k2")
+    rooted = seen.select("*", *sets).drop("lines").join(roots(repositories), "repository", "left").withColumn("root", F.coalesce("root", "repository", F.lit("")))
     short = F.regexp_replace(F.element_at(F.split("root", "/"), -1), "[^a-z0-9]", "")
-    facts = rooted.withColumn("own", F.array_contains("names", short) & (short != ""))
     parts = F.split(F.lower("path"), "/")
+    facts = rooted.withColumn("rh", F.xxhash64("root")).withColumn("own", F.array_contains("names", short) & (short != ""))
     facts = facts.withColumn("kept", F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), F.array(*[F.lit(v) for v in VENDOR_FOLDERS])) & (F.size(parts) > 1))
-    them = facts.select(F.col("pair_id").alias("other"), F.col("own").alias("other_own"), F.col("at").alias("other_at"))
-    full = facts.join(best, "pair_id", "left").join(them, "other", "left")
-    foreign = ~F.col("own") & (F.size("names") > 0)
-    later = F.coalesce(F.struct("at", "pair_id") > F.struct("other_at", "other"), F.lit(False))
-    # a row that names no repository is in nobody's; only its own words can tell that it is another project's
-    somewhere = (F.col("root") != "") | F.col("kept") | (F.size("owners") > 0)
-    copied = F.col("other").isNotNull() & ~F.col("own") & somewhere & (F.col("kept") | (F.size("owners") > 0) | F.col("other_own") | foreign | later)
+    facts = staged(facts, "facts")
+    best = holders(seen.select("pair_id", "lines"), facts)
+    full = facts.join(best, "pair_id", "left")
     placed = ~F.col("own") & ((F.size("owners") > 0) | F.col("kept"))
-    verdict = F.when(copied | placed, "vendored").when(F.col("kind").isNotNull(), F.col("kind")).otherwise("handwritten")
+    verdict = F.when(F.col("other").isNotNull() | placed, "vendored").when(F.col("kind").isNotNull(), F.col("kind")).otherwise("handwritten")
     return full.select("pair_id", verdict.alias("verdict"), F.when(verdict == "vendored", F.col("other")).alias("of_pair"))
+
+
+def holders(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """(pair_id, other): of each file that is a copy a file of another project that holds its lines and is the original.
+
+    A file is a copy if some file of another project holds enough of its lines, it doesn't bear its own project's name,
+    and it says that it is foreign, or the other file bears its project's name or is older. Files with the same lines
+    are one class. A class is first compared with those at both ends of its lines' holders, which settles most copies
+    at a cost linear in the lines; what that leaves open is compared with all classes that share one of its rarest lines.
+    """
+    foreign = F.col("kept") | (F.size("owners") > 0) | (~F.col("own") & (F.size("names") > 0))
+    # a row that names no repository is in nobody's; only its own words can tell that it is another project's
+    somewhere = (F.col("root") != "") | F.col("kept") | (F.size("owners") > 0)
+    picked = facts.where(F.col("n") >= 1).select("pair_id", "k1", "k2", "n", "rh", "own", F.struct("at", "pair_id").alias("age"), foreign.alias("foreign"), (~F.col("own") & somewhere & (F.col("n") >= CONTAINED_LINES)).alias("open"))
+    ids = picked.groupBy("k1", "k2").agg(F.min("pair_id").alias("cid"))
+    members = staged(picked.join(ids, ["k1", "k2"]).drop("k1", "k2"), "members")
+
+    # of each class the ends of its projects, the oldest file and the oldest of another project, two with their project's name
+    per_root = members.groupBy("cid", "rh").agg(F.min("age").alias("age"), F.min(F.when(F.col("own"), F.col("pair_id"))).alias("named"), F.first("n").alias("n"))
+    named = F.when(F.col("named").isNotNull(), F.struct("rh", F.col("named").alias("pair_id")))
+    first = per_root.groupBy("cid").agg(F.first("n").alias("n"), F.min("rh").alias("lo"), F.max("rh").alias("hi"), F.min(F.struct("age", "rh")).alias("old"), F.min(named).alias("named"), F.max(named).alias("named2"))
+    second = per_root.join(first.select("cid", "old"), "cid").where(F.col("rh") != F.col("old.rh")).groupBy("cid").agg(F.min(F.struct("age", "rh")).alias("old2"))
+    classes = staged(first.join(second, "cid", "left"), "classes")
+    texts = lines.join(classes.select(F.col("cid").alias("pair_id"), "n", "lo", "hi"), "pair_id").withColumnRenamed("pair_id", "cid")
+
+    each = texts.select("cid", "n", "lo", "hi", F.explode("lines").alias("line"))
+    ends = each.groupBy("line").agg(F.min(F.struct("lo", "cid")).alias("least"), F.max(F.struct("hi", "cid")).alias("most"), F.count(F.lit(1)).alias("files")).where("least.lo <> most.hi")
+    # lines of one project alone have no holder elsewhere; they only add to n
+    items = F.sort_array(F.collect_list(F.struct("files", "line", F.col("least.cid").alias("a"), F.col("most.cid").alias("b")))).alias("items")
+    common = staged(each.select("cid", "n", "line").join(ends, "line").groupBy("cid").agg(F.first("n").alias("n"), items), "common")
+    need = F.greatest(F.ceil(F.col("n") * CONTAINED), F.lit(CONTAINED_LINES)).cast("int")
+    able = common.withColumn("need", need).where(F.size("items") >= F.col("need"))
+
+    sides = [classes.select(*[F.col(c).alias(f"{c}_{x}") for c in classes.columns]) for x in "st"]
+    mine, theirs = (lines.select(F.col("pair_id").alias(f"cid_{x}"), F.col("lines").alias(f"lines_{x}")) for x in "st")
+
+    def settle(pairs: DataFrame, files: DataFrame) -> DataFrame:
+        """(pair_id, other) of those ``files`` of class ``cid_s`` that are copies by one of the pairs of classes."""
+        held = pairs.join(mine, "cid_s").join(theirs, "cid_t").withColumn("shared", F.size(F.array_intersect("lines_s", "lines_t")))
+        held = held.where((F.col("shared") >= CONTAINED * F.size("lines_s")) & (F.col("shared") >= CONTAINED_LINES)).select("cid_s", "cid_t", "shared")
+        both = held.join(sides[1], "cid_t").join(files.withColumnRenamed("cid", "cid_s"), "cid_s")
+        apart = lambda c: F.col(f"{c}_t.rh") != F.col("rh")
+        old = F.when(apart("old"), F.col("old_t.age")).when(apart("old2"), F.col("old2_t.age"))
+        name = F.when(apart("named"), F.col("named_t.pair_id")).when(apart("named2"), F.col("named2_t.pair_id"))
+        other = F.coalesce(name, F.when(F.col("foreign") | (old < F.col("age")), old["pair_id"]))
+        return both.select("pair_id", "shared", other.alias("other")).where("other is not null").groupBy("pair_id").agg(F.max(F.struct("shared", "other")).alias("b")).select("pair_id", F.col("b.other").alias("other"))
+
+    opened = members.where("open").select("cid", "pair_id", "rh", "age", "foreign")
+    pointed = able.select("cid", "n", F.explode("items").alias("i")).select(F.col("cid").alias("cid_s"), "n", F.explode(F.array_distinct(F.array("i.a", "i.b"))).alias("cid_t"))
+    pointed = pointed.groupBy("cid_s", "cid_t").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= POINTED * F.col("n")).select("cid_s", "cid_t")
+    near = staged(settle(pointed, opened), "settled")
+
+    # A holder of at least ``need`` of the common lines has one of any (common lines - need + 1) of them: the rarest.
+    left = staged(opened.join(near, "pair_id", "left_anti"), "left")
+    wanted = left.groupBy(F.col("cid").alias("cid_s")).agg(F.max("foreign").alias("foreign_s"), F.max("age").alias("age_s"))
+    salts = F.ceil(F.col("i.files") / SALTED).cast("int")
+    rare = able.join(left.select("cid").distinct(), "cid", "left_semi").select(F.col("cid").alias("cid_s"), "need", F.explode(F.slice("items", 1, F.size("items") - F.col("need") + 1)).alias("i"))
+    rare = rare.select("cid_s", "need", F.col("i.line").alias("line"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    posts = common.select(F.col("cid").alias("cid_t"), F.col("n").alias("n_t"), F.explode("items").alias("i"))
+    posts = posts.select("cid_t", "n_t", F.col("i.line").alias("line"), F.pmod(F.xxhash64("cid_t"), salts).cast("int").alias("salt"))
+    pairs = posts.join(rare, ["line", "salt"]).where("n_t >= need").select("cid_s", "cid_t").distinct()
+    # pairs that no verdict can come from: of one project only, or neither foreign, nor named, nor older
+    pairs = pairs.join(sides[0].select("cid_s", "lo_s", "hi_s"), "cid_s").join(wanted, "cid_s").join(sides[1].select("cid_t", "lo_t", "hi_t", "named_t", "old_t"), "cid_t")
+    pairs = pairs.where(F.least("lo_s", "lo_t") != F.greatest("hi_s", "hi_t")).where(F.col("foreign_s") | F.col("named_t").isNotNull() | (F.col("old_t.age") < F.col("age_s")))
+    return near.unionByName(settle(staged(pairs.select("cid_s", "cid_t"), "rare"), left))

@@ -64,3 +64,51 @@ def test_forks_of_forks(spark):
     rows = [("h/a/x", False, None), ("h/b/x", True, "a/x"), ("h/c/x", True, "b/x"), ("h/d/x", True, "C/X"), ("h/e/y", True, None)]
     got = {r["repository"]: r["root"] for r in s.roots(spark.createDataFrame(rows, "repository string, fork boolean, parent_full_name string")).collect()}
     assert got == {"h/a/x": "h/a/x", "h/b/x": "h/a/x", "h/c/x": "h/a/x", "h/d/x": "h/a/x", "h/e/y": "h/e/y"}
+
+
+def _copies(n=10, size=60, changed=24):
+    """Copies of one library, each with other lines replaced, and its plain source; no name tells them apart."""
+    lib = [f"static int library_function_number_{i}(int a, int b);" for i in range(size)]
+    out = []
+    for c in range(n):
+        own = {(c * 7 + k * 5) % size for k in range(changed)}
+        out.append("\n".join(f"static int edited_{c}_function_number_{i}(long x);" if i in own else x for i, x in enumerate(lib)))
+    return out, "\n".join(lib)
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, "pair_id long, repository string, new_file string, new_contents string, committed_at string").selectExpr("*", "new_file as old_file")
+
+
+NO_REPOSITORIES = "repository string, fork boolean, parent_full_name string"
+
+
+def test_every_holder_is_compared(spark):
+    # the target holds lines that ten differently edited copies hold too; only one file holds half of the target's lines
+    rows, repository = [], 0
+    for seed in range(12):
+        copies, lib = _copies()
+        copies, lib = ([t.replace("function_number", f"function_of_{seed}_number") for t in x] for x in (copies, [lib]))
+        lines = lib[0].split("\n")
+        target = lines[:32] + [f"int only_in_the_target_{seed}_{i}(char c);" for i in range(28)]
+        # each decoy holds 6 of the target's lines besides its own
+        decoys = ["\n".join(lines[(d * 3) % 27 : (d * 3) % 27 + 6] + [f"int only_in_decoy_{seed}_{d}_{i}(char c);" for i in range(20)]) for d in range(20)]
+        for t in [*decoys, lib[0], "\n".join(target), *copies[:4]]:
+            repository += 1
+            rows.append((repository, f"h/o{repository}/r{repository}", "src/a.c", t, f"2020-01-01 {repository // 60:02d}:{repository % 60:02d}"))
+    got = {r["pair_id"]: (r["verdict"], r["of_pair"]) for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
+    sets = {r[0]: set(s.line_hashes(r[3].encode()).tolist()) for r in rows}
+    for p, lines in sets.items():
+        able = {q for q, x in sets.items() if q < p and len(lines & x) >= max(0.5 * len(lines), 4)}
+        assert (got[p][0] == "vendored") == bool(able), p
+        assert got[p][1] in able if able else got[p][1] is None, p
+    assert sum(v == "vendored" for v, _ in got.values()) >= 12
+
+
+def test_hot_lines_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(s, "SALTED", 2)
+    monkeypatch.setattr(s, "POINTED", 2.0)
+    copies, lib = _copies()
+    rows = [(i, f"h/o{i}/r{i}", "src/a.c", t, f"2020-01-{i:02d}") for i, t in enumerate([lib, *copies, lib], 1)]
+    got = {r["pair_id"]: r["verdict"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
+    assert {p for p, v in got.items() if v == "vendored"} == set(range(2, 13))
