@@ -47,6 +47,7 @@ _MARK = re.compile(
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'')
 _NUMBER = re.compile(r"\b0[xX][0-9a-fA-F]+\w*|\b\d[\d.]*(?:[eE][-+]?\d+)?\w*")
 _NAME = re.compile(r"[A-Za-z_]\w*")
+_SAYS = re.compile(r"[\w\"']")
 _SPACES = re.compile(r"namespace\s+([A-Za-z_]\w*)")
 _HOLDER = re.compile(r"\b[Cc]opyright\b[^\n]*?\d{4}(?:\s*-\s*\d{4})?,?\s+(?:[Tt]he\s+)?([\w.-]+?)\s+(?:contributors|authors|developers|project|team)\b")
 _BELONGS = re.compile(
@@ -84,7 +85,7 @@ def composition(text: str) -> str | None:
     table = literals = counted = 0
     for x in code:
         x = x.strip()
-        if len(x) < 6 or x.startswith(("#include", "//", "*", "/*")):
+        if not _SAYS.search(x) or x.startswith(("#include", "//", "*", "/*")):
             continue
         shape = _NAME.sub("w", _NUMBER.sub("0", _STRING.sub("s", x)))
         shape = re.sub(r"//.*$", "//", shape)
@@ -95,7 +96,7 @@ def composition(text: str) -> str | None:
             literals += len(x)
     if counted < 12:
         return None
-    if table > 0.6 * counted and literals > 0.5 * size:
+    if table > 0.6 * counted and literals > 0.5 * sum(len(x.strip()) for x in code):
         # numbers with a remark on each line are a generator's tables, bare ones are data
         remarked = sum(n for s, n in shapes.items() if s.endswith("//") and "w" not in s)
         return "generated" if remarked > 0.5 * table else "data"

@@ -112,3 +112,9 @@ def test_hot_lines_are_salted(spark, monkeypatch):
     rows = [(i, f"h/o{i}/r{i}", "src/a.c", t, f"2020-01-{i:02d}") for i, t in enumerate([lib, *copies, lib], 1)]
     got = {r["pair_id"]: r["verdict"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
     assert {p for p, v in got.items() if v == "vendored"} == set(range(2, 13))
+
+
+@pytest.mark.parametrize("line", ["0x4f,", "255,", "    7,", "        0x4f,"])
+def test_one_short_literal_a_line_is_data(line):
+    assert s.composition("const unsigned char blob[] = {\n" + (line + "\n") * 300 + "};\n") == "data"
+    assert s.composition(hand("a").replace("    if", "    {\n    }\n    if")) is None
