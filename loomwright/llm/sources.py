@@ -37,7 +37,7 @@ SALTED = 1000
 VENDOR_FOLDERS = ("3rdparty", "3rd_party", "bower_components", "bundled", "contrib", "deps", "extern", "external", "externals", "node_modules", "subprojects", "submodules", "third-party", "third_party", "thirdparty", "vendor", "vendored", "vendors")
 
 _OPENING = re.compile(r"﻿?(?:\s+|//[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z)|#![^\n]*\n)*", re.S)
-_CLOSING = re.compile(r"(?:(?:^|\n)[ \t]*//[^\n]*|(?:^|\n)[ \t]*/\*(?:[^*]|\*(?!/))*\*/|\s)+\Z")
+_LINE_BLOCK = re.compile(r"\n[ \t]*/\*")
 _MARK = re.compile(
     r"@generated\b|\bauto-?generated\b|\b(?:automatically|machine)[ -](?:generated|created|written|produced|made)\b|\b(?:was|is|been) (?:produced|generated|created) automatically\b"
     r"|\bgenerated (?:by|from|on|with|using|at|code)\b|\*\* *generated *\*\*|\bdo not (?:hand-?)?(?:edit|modify|change)\b(?! the\b)|\bedits? (?:are|is|will be) (?:overwritten|lost|discarded)\b"
@@ -61,13 +61,35 @@ def _plain(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.lower())
 
 
+def closing(text: str, start: int) -> int:
+    """Where the comments and blanks at the end of ``text`` begin, not before ``start``; each comment begins its line."""
+    end = len(text)
+    while True:
+        while end > start and text[end - 1].isspace():
+            end -= 1
+        at = -1
+        if text.endswith("*/", start, end):
+            # the first comment that opens a line after the one closed before
+            before = text.rfind("*/", start, end - 2)
+            block = _LINE_BLOCK.search(text, start if before < 0 else max(text.rfind("\n", start, before), start), end - 2)
+            while block and block.end() <= before:
+                block = _LINE_BLOCK.search(text, block.end(), end - 2)
+            at = block.start() if block else -1
+        if at < 0:
+            line = text.rfind("\n", start, end)
+            if line < 0 or not text[line + 1 : end].lstrip(" \t").startswith("//"):
+                return end
+            at = line
+        end = at
+
+
 def composition(text: str) -> str | None:
     """``generated``, ``minified``, ``data`` or none of them, by the file's own text."""
     opening = _OPENING.match(text).end()
-    tail = _CLOSING.search(text, max(opening, len(text) - 2000))
-    if _MARK.search(text, 0, opening) or (tail and tail.end() > tail.start() and _MARK.search(text, tail.start())):
+    tail = closing(text, opening)
+    if _MARK.search(text, 0, opening) or _MARK.search(text, tail):
         return "generated"
-    body = text[opening : tail.start()] if tail else text[opening:]
+    body = text[opening:tail]
     if not body.strip():
         return None
     lines = body.split("\n")

@@ -118,3 +118,19 @@ def test_hot_lines_are_salted(spark, monkeypatch):
 def test_one_short_literal_a_line_is_data(line):
     assert s.composition("const unsigned char blob[] = {\n" + (line + "\n") * 300 + "};\n") == "data"
     assert s.composition(hand("a").replace("    if", "    {\n    }\n    if")) is None
+
+
+@pytest.mark.parametrize("size", [10, 3_000, 200_000])
+def test_closing_comment_of_any_length(size):
+    words = "rule is term or term then rule\n" * (size // 31 + 1)
+    block = "\n/* Generated by gen from a grammar:\n" + words + "*/\n\n"
+    run = "\n// Generated by gen from a grammar:\n" + "".join(f"// {x}\n" for x in words.splitlines())
+    for end in (block, run, block + run.replace("Generated by gen", "Taken"), block.replace("\n", "\r\n")):
+        assert s.composition(hand("a") + end) == "generated"
+        assert s.composition(hand("a") + end.replace("Generated by gen", "Taken")) is None
+        text = "int x;" + end
+        assert text[: s.closing(text, 0)] == "int x;"
+    # code behind the comment, or in front of it on its line: not a closing one
+    assert s.closing(block + "int last_one_of_all;\n", 0) == len(block + "int last_one_of_all;")
+    assert s.closing("int x; /* a */\n", 0) == len("int x; /* a */")
+    assert s.closing("int x;\n/*/ a */\n/* b */", 0) == len("int x;")
