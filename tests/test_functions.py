@@ -70,6 +70,15 @@ def test_parse_zero_context():
     assert diff.parse_zero_context("")[1] == "empty"
 
 
+def test_parse_zero_context_takes_16_mib():
+    head = "diff --git a/x b/x\nindex 1..2\n--- a/x\n+++ b/x\n"
+    for lines in (20_000, 160_000):
+        text = head + f"@@ -0,0 +1,{lines} @@\n" + ("+" + "x" * 99 + "\n") * lines
+        assert 1 << 20 < len(text) < 16 << 20
+        assert diff.parse_zero_context(text) == (True, None, [(0, 0)], [(1, lines)], lines, 0)
+    assert diff.parse_zero_context(head + "@@ -0,0 +1 @@\n+" + "x" * (16 << 20) + "\n")[1] == "empty"
+
+
 def test_changed_lines():
     assert diff.changed_blocks("a\nb\nc", "a\nx\ny\nc")[:2] == (2, [2])
     assert diff.changed_deletions("a\nb\nc", "a\nx\ny\nc") == (2, [2])
