@@ -4,8 +4,8 @@ Statements are read from a file's opening comments and from licence texts. Spans
 are put to a multinomial logistic regression on word n-grams, trained on variants of licence names; it has a class
 for each licence of the catalogue, one for other licences and one for no licence, and a span counts only if it is
 sure and has no word the training didn't have (open-set rejection). The longest sure span at a place wins. What the
-grammar around a name says comes next: names joined by "or" are an offered choice, a refusal grants nothing. Then
-the predictions are reconciled along the path file, row, repository text, repository id.
+grammar around a name says comes next: names joined by "or" are an offered choice, a refusal grants nothing. Licences
+whose templates don't name them are also known by the sentences of their templates. Then the predictions are reconciled along the path file, row, repository text, repository id.
 """
 
 from __future__ import annotations
@@ -42,6 +42,23 @@ NAMES = {
 OTHERS = ("agpl 1", "agpl v 1", "gnu affero general public license version 1", "apache 1", "apache 1.1", "apache license 1.1", "apache license version 1.1", "apache software license 1.1", "bsd 4 clause", "four clause bsd", "4 clause bsd", "original bsd", "0 bsd", "bsd 0 clause", "bsd 1 clause", "gpl 1", "gpl v 1", "gnu general public license version 1", "lgpl 2", "lgpl v 2", "lgpl 3", "lgpl v 3", "gnu lgpl v 3", "gnu lgpl 3", "gnu lgpl v 2", "gnu lesser general public license version 3", "gnu lesser general public license v 3", "lesser general public license version 3", "gnu library general public license version 2", "library general public license version 2", "mpl 1", "mpl 1.1", "mpl v 1.1", "mozilla public license 1.1", "mozilla public license version 1.1", "mozilla public license v 1.1", "artistic license 2", "artistic license", "eclipse public license", "epl 1", "epl 2", "eclipse public license v 2", "creative commons", "cc 0", "cc by 4", "wtfpl", "public domain", "business source license 1.1", "business source license", "mit 0", "mit 0 license", "python software foundation license 2", "eupl 1.2")
 NOTHING = ("license", "software license", "public license", "general public license", "gnu general public license", "lesser general public license", "gnu lesser general public license", "gnu affero general public license", "affero general public license", "gnu", "gpl", "lgpl", "agpl", "mpl", "bsd", "bsd license", "apache", "apache software", "apache software foundation", "boost", "boost software", "mozilla", "mozilla public", "version 2", "version 3", "version", "v 2", "v 3", "2", "3", "2.1", "1", "clause", "two clause", "three clause", "2 clause", "3 clause", "new", "simplified", "modified", "revised", "known as", "as", "library", "two", "three", "gnu gpl", "gnu lgpl", "gnu agpl", "license version 2", "license version 3", "license v 2", "license 2", "public license version 2", "public license v 2", "mit technology", "internet systems consortium", "software", "foundation", "general", "public", "lesser", "affero", "source", "domain", "x11", "libpng", "al", "asl", "v", "cc", "0", "4", "1.1", "1.2")
 
+# Wording of the catalogue's licences whose own templates don't name them, as words: (licence, sentences
+# that all must stand, words that tell a relative of it). The other templates of the catalogue name themselves.
+_REDISTRIBUTION = ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "must retain the above copyright notice", "must reproduce the above copyright notice")
+_ENDORSE = "used to endorse or promote products derived from"
+_BSD_KIN = ("all advertising materials mentioning", "end user documentation included with", "patent")
+WORDING = (
+    ("BSD-2-Clause", _REDISTRIBUTION, (*_BSD_KIN, _ENDORSE)),
+    ("BSD-3-Clause", (*_REDISTRIBUTION, _ENDORSE), _BSD_KIN),
+    ("BSL-1.0", ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",), ()),
+    ("ISC", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",), ("except as contained in this notice",)),
+    ("ISC", ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",), ("except as contained in this notice",)),
+    ("MIT", ("permission is hereby granted free of charge to any person obtaining a copy of this software", "to deal in the software without restriction"), ("used for good not evil",)),
+    ("Unlicense", ("this is free and unencumbered software released into the public domain",), ()),
+    ("Zlib", ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "the origin of this software must not be misrepresented"), ("documentation is required",)),
+)
+_WORDED = re.compile(r"\bhereby\s+granted\b|\bredistribution\s+and\s+use\b|\bunencumbered\b|\bmisrepresented\b|\bgranted\s+to\s+anyone\b", re.I)
+
 #: How sure the classifier must be of a span, and the most words of one.
 SURE, MOST_WORDS = 0.8, 9
 
@@ -193,9 +210,30 @@ class LicenceModel:
                     link = False
                 since, end = [], i + size
             i += size
+        if not bare:
+            # wording of a licence that is named too is the text of that statement
+            stated = {c for s in out for c in s}
+            out += [[c] for c in worded(text) if c in self.classes and c not in stated]
         return out
 
 
+def worded(text: str) -> list[str]:
+    """The licences whose template's wording stands in a text, by all its sentences; a refusal before one undoes it."""
+    if not _WORDED.search(text):
+        return []
+    flat = " " + " ".join(t for t in tokens(text) if t[0].isalnum()) + " "
+
+    def stands(sentence: str) -> bool:
+        found = [flat[:m].split()[-1:] for m in (x.start() for x in re.finditer(f" {sentence} ", flat))]
+        return any(not (set(before) & (_NOT | {"no"})) for before in found)
+
+    out = [c for c, sentences, kin in WORDING if all(map(stands, sentences)) and not any(f" {k} " in flat for k in kin)]
+    # without the condition to keep the notice, a whole text of this wording is another licence
+    if "MIT" in out and " software is provided as is " in flat and " permission notice shall be included " not in flat:
+        out.remove("MIT")
+    return out
+
+
 def _overall(statements: list[list[str]]) -> tuple[list[str], bool]:
     """(licences that agree with all statements, whether there are none although something is granted)."""
     if not statements:

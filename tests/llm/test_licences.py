@@ -92,3 +92,49 @@ def test_long_blanks_take_no_time(model):
     began = time.perf_counter()
     assert model.statements("MIT License" + " ,\n" * 30_000 + "or" + " \t" * 30_000 + ".") == [["MIT"]]
     assert time.perf_counter() - began < 5
+
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions.
+"""
+ENDORSE = "3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software.\n"
+ISC_TEXT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+ZLIB_TEXT = """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented;"""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (MIT_TEXT, [["MIT"]]),
+        (MIT_TEXT.split("\n\n")[0], [["MIT"]]),
+        ("MIT License\n\n" + MIT_TEXT, [["MIT"]]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0\n\n" + MIT_TEXT, [["MIT", "Apache-2.0"]]),
+        ("SPDX-License-Identifier: GPL-2.0\n\n" + MIT_TEXT, [["GPL-2.0"], ["MIT"]]),
+        (MIT_TEXT.replace("this permission notice shall", "all shall"), []),
+        ("No " + MIT_TEXT.lower().split("\n\n")[0], []),
+        (BSD_TEXT, [["BSD-2-Clause"]]),
+        (BSD_TEXT + ENDORSE, [["BSD-3-Clause"]]),
+        (BSD_TEXT + "3. All advertising materials mentioning features must say so.\n" + ENDORSE, []),
+        (ISC_TEXT + ", provided that the above copyright notice and this permission notice appear in all copies.", [["ISC"]]),
+        (ISC_TEXT + ".", []),
+        (ZLIB_TEXT, [["Zlib"]]),
+        ("This is free and unencumbered software released into the public domain.", [["Unlicense"]]),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", [["BSL-1.0"]]),
+    ],
+)
+def test_wording_without_a_name(model, text, want):
+    assert model.statements(text) == want
+    comment = "/*\n" + "".join(f" * {x}\n" for x in text.split("\n")) + " */\nint x;\n"
+    assert model.statements(lic.opening_comments(comment)) == want
