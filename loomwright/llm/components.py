@@ -10,6 +10,7 @@ the driver, only counts.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,40 +130,39 @@ def related_sets(df: DataFrame, key: str, keys: dict[str, Column]) -> DataFrame:
     return keyed.join(comp, "first", "left").select("id", F.coalesce("component", F.concat(F.lit("row:"), F.col("id").cast("string"))).alias("component"))
 
 
-def assign_splits(sets: DataFrame, shares: list[tuple[str, float]], giant: float = 0.02) -> DataFrame:
-    """(component, split): whole components, in the order of their hash, so that the splits get their shares.
+#: Hash orders that are compared, and ranges of a hash order that totals are taken over (both bound what is collected).
+ORDERS, RANGES = 16, 4096
 
-    Components with more than ``giant`` of all records (so at most 1/giant of them) go first, each to the split
-    that lacks most; the others fill what is left in hash order. The running total over components is taken in two
-    steps (over at most 4,096 hash ranges, then within each), so no task sees them all.
+
+def assign_splits(sets: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
+    """(component, split): whole components, in the order of their hash, cut where the splits' shares are reached.
+
+    A component goes to the split that the middle of its rows falls in, so each cut is off by half a component at
+    most. Of a fixed number of hash orders the one is taken whose cuts come nearest to the shares, judged by totals
+    over hash ranges; that alone reaches the driver. The rule is the same for components of any size. The running
+    total is taken over the ranges first and then within each, so no task sees all components.
     """
-    sizes = staged(sets.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64(F.lit("split"), "component")), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
     spark = sets.sparkSession
-    quota = {s: share * total for s, share in shares}
-    big = sizes.where(F.col("n") > giant * total).orderBy(F.desc("n"), "h", "component").collect() if total else []
-    placed = []
-    for r in big:
-        s = max(quota, key=lambda k: (quota[k], k))
-        placed.append((r["component"], s))
-        quota[s] -= r["n"]
-    left = {s: max(0.0, q) for s, q in quota.items()}
-    rest = sizes.where(F.col("n") <= giant * total)
-    room, bounds, upto = sum(left.values()) or 1.0, [], 0.0
-    for s, _ in shares:
-        upto += left[s]
-        bounds.append((s, upto / room))
-    ranged = rest.withColumn("r", F.shiftright("h", 52))
-    by_range = ranged.groupBy("r").agg(F.sum("n").alias("nr"))
-    before = by_range.withColumn("base", F.sum("nr").over(Window.orderBy("r")) - F.col("nr")).select("r", "base")
-    all_rest = max(1, total - sum(r["n"] for r in big))
+    sizes = staged(sets.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    step = RANGES.bit_length() - 1
+    place = lambda order: F.xxhash64(F.lit("split"), order, "component")
+    each = sizes.select("component", "n", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("o"))
+    totals = np.zeros((ORDERS, RANGES), np.int64)
+    for r in each.groupBy("o", F.shiftright(place(F.col("o")), 64 - step).alias("r")).agg(F.sum("n").alias("n")).collect():
+        totals[r["o"], r["r"] + RANGES // 2] = r["n"]
+    total = int(totals[0].sum()) or 1
+    upto = np.cumsum([share for _, share in shares])
+    upto = upto / (upto[-1] or 1)
+    middles = (np.cumsum(totals, axis=1) - totals / 2) / total
+    which = np.minimum(np.searchsorted(upto, middles, side="right"), len(shares) - 1)
+    got = np.stack([(totals * (which == k)).sum(axis=1) / total for k in range(len(shares))], axis=1)
+    order = int(np.abs(got - np.diff(upto, prepend=0)).sum(axis=1).argmin())
+    before = np.cumsum(totals[order]) - totals[order]
+    base = spark.createDataFrame([(k - RANGES // 2, int(b)) for k, b in enumerate(before)], "r int, base long")
+    ranged = sizes.withColumn("h", place(F.lit(order))).withColumn("r", F.shiftright("h", 64 - step).cast("int"))
     w = Window.partitionBy("r").orderBy("h", "component")
-    at = ranged.join(F.broadcast(before), "r").withColumn("mid", F.col("base") + F.sum("n").over(w) - F.col("n") / 2)
-    share = F.col("mid") / all_rest
-    split = F.lit(bounds[-1][0])
-    for s, b in reversed(bounds[:-1]):
-        split = F.when(share < b, s).otherwise(split)
-    out = at.select("component", split.alias("split"))
-    if placed:
-        out = out.unionByName(spark.createDataFrame(placed, "component string, split string"))
-    return out
+    middle = (F.col("base") + F.sum("n").over(w) - F.col("n") / 2) / F.lit(float(total))
+    split = F.lit(shares[-1][0])
+    for (s, _), b in reversed(list(zip(shares[:-1], upto[:-1], strict=True))):
+        split = F.when(middle < float(b), s).otherwise(split)
+    return ranged.join(F.broadcast(base), "r").select("component", split.alias("split"))

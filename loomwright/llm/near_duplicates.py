@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm import textvec as tv
+from loomwright.llm.components import components
 from loomwright.session import staged
 
 PERMUTATIONS = 80
@@ -49,7 +50,7 @@ def union_sets(batch: pa.RecordBatch, columns: list[str], words: int) -> Iterato
         yield parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
-def _as_lists(arrays: list[np.ndarray]) -> pa.Array:
+def as_lists(arrays: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
@@ -67,7 +68,7 @@ def signatures(df: DataFrame, key: str, columns: list[str], words: int, permutat
                 k1.append(a)
                 k2.append(b)
                 bands.append(minmax_bands(s, permutations, rows) if len(s) else np.zeros(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _as_lists(bands)], names=["id", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), as_lists(bands)], names=["id", "n", "k1", "k2", "bands"])
 
     picked = df.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns])
     return picked.mapInArrow(run, "id long, n int, k1 long, k2 long, bands array<long>")
@@ -79,7 +80,7 @@ def phrase_arrays(df: DataFrame, columns: list[str], words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(union_sets(batch, columns, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _as_lists(sets)], names=["id", "phrases"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), as_lists(sets)], names=["id", "phrases"])
 
     return df.select("id", *columns).mapInArrow(run, "id long, phrases array<long>")
 
@@ -97,14 +98,8 @@ def likeness_at_least(pairs: DataFrame, sets: DataFrame, threshold: Fraction) ->
     return both.where(F.col("shared") * t.denominator >= (F.col("na") + F.col("nb") - F.col("shared")) * t.numerator)
 
 
-def classes_and_links(df: DataFrame, key: str, columns: list[str], words: int = 4, threshold: Fraction = Fraction(7, 10), permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of the records of ``df``.
-
-    ``members`` (id, class_id, n) has every record once; records with the same phrase set form a class, named after
-    its least id, so copies meet no further work. ``links`` (a, b, shared, na, nb; a < b) holds each pair of classes
-    of at least the threshold once. A record without phrases (null, empty, too few words) is a class of its own and
-    has no link. Ids must be unique.
-    """
+def _classes(df: DataFrame, key: str, columns: list[str], words: int, permutations: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(members, posts): each record's class (id, class_id, n), and the band keys (id, band) of each class."""
     sig = staged(signatures(df, key, columns, words, permutations, rows), "signatures")
     named = sig.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
     members = staged(
@@ -112,13 +107,58 @@ def classes_and_links(df: DataFrame, key: str, columns: list[str], words: int =
         "members",
     )
     first = members.where("id = class_id and n > 0").select("id")
-    posts = sig.select("id", "bands").join(first, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    pairs = posts.alias("x").join(posts.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = staged(pairs, "candidates")
+    return members, sig.select("id", "bands").join(first, "id", "left_semi").select("id", F.explode("bands").alias("band"))
+
+
+def _verified(df: DataFrame, key: str, columns: list[str], words: int, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The candidate ``pairs`` (a, b; staged) that are like enough, with shared, na, nb."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = df.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns]).join(needed, "id", "left_semi")
-    links = likeness_at_least(pairs, phrase_arrays(texts, columns, words), threshold)
-    return members, staged(links, "links")
+    return staged(likeness_at_least(pairs, staged(phrase_arrays(texts, columns, words), "phrases"), threshold), "links")
+
+
+def classes_and_links(df: DataFrame, key: str, columns: list[str], words: int = 4, threshold: Fraction = Fraction(7, 10), permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the records of ``df``: all links, so as many as there are pairs of different, like records.
+
+    ``members`` (id, class_id, n) has every record once; records with the same phrase set form a class, named after
+    its least id, so copies meet no further work. ``links`` (a, b, shared, na, nb; a < b) holds each pair of classes
+    of at least the threshold once. A record without phrases (null, empty, too few words) is a class of its own and
+    has no link. Ids must be unique.
+    """
+    members, posts = _classes(df, key, columns, words, permutations, rows)
+    pairs = posts.alias("x").join(posts.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return members, _verified(df, key, columns, words, staged(pairs, "candidates"), threshold)
+
+
+def groups(df: DataFrame, key: str, columns: list[str], words: int = 4, threshold: Fraction = Fraction(7, 10), permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> DataFrame:
+    """(id, class_id, group_id) of every record; the groups are what ``classes_and_links`` would hold together.
+
+    Within a band only its least class is compared with the others at first, so many revisions of one record make
+    links in proportion to their number. Classes of a band that this leaves in different groups are then compared
+    across the groups, all of them; those within one group need no further link. A group is named after its least id.
+    """
+    members, posts = _classes(df, key, columns, words, permutations, rows)
+    posts = staged(posts, "bands")
+    lead = posts.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = posts.join(lead, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = _verified(df, key, columns, words, staged(star, "stars"), threshold).select("a", "b")
+
+    def joined(links: DataFrame) -> DataFrame:
+        c = components(links.select(F.col("a").cast("string").alias("u"), F.col("b").cast("string").alias("v"))).select(F.col("node").cast("long").alias("id"), "component")
+        return c.join(c.groupBy("component").agg(F.min("id").alias("g")), "component").select("id", "g")
+
+    grouped = posts.join(joined(links), "id", "left").select("id", "band", F.coalesce("g", "id").alias("g"))
+    apart = grouped.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
+    grouped = staged(grouped.join(apart, "band", "left_semi"), "apart")
+    bands = grouped.select("band", "g").distinct()
+    across = bands.alias("x").join(bands.alias("y"), "band").where("x.g < y.g").select("band", F.col("x.g").alias("gx"), F.col("y.g").alias("gy"))
+    side = lambda x: grouped.select("band", F.col("g").alias(f"g{x}"), F.col("id").alias(x))
+    left = across.join(side("x"), ["band", "gx"]).join(side("y"), ["band", "gy"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # the stars' pairs have been compared
+    left = staged(left.join(star, ["a", "b"], "left_anti"), "across")
+    more = _verified(df, key, columns, words, left, threshold).select("a", "b")
+    found = joined(links.unionByName(more))
+    return members.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "class_id", F.coalesce("g", "class_id").alias("group_id"))
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import components as comp
 from loomwright.llm.containers import fill_containers
-from loomwright.llm.cross_split import overlaps
+from loomwright.llm.cross_split import crossing
 from loomwright.llm.licences import licences
-from loomwright.llm.near_duplicates import classes_and_links, expand_pairs
+from loomwright.llm.near_duplicates import classes_and_links, expand_pairs, groups
 from loomwright.llm.pieces import Limits, split_oversized
-from loomwright.llm.shared_spans import shared_share, shared_spans
+from loomwright.llm.shared_spans import shared_share, shared_spans, without_repeats
 from loomwright.llm.sources import judge_files
 from loomwright.llm.tokens import token_counts, token_ids
 from loomwright.session import staged, table
@@ -36,24 +36,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 # --- 2: near-duplicate commit pairs ---
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return classes_and_links(table(spark, d, "pair_source_a"), "pair_id", CONTENTS, words=4, threshold=Fraction(7, 10))
+_LIKE = Fraction(7, 10)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return expand_pairs(*_near(spark, d)).select(F.col("a").alias("pair_id_a"), F.col("b").alias("pair_id_b"))
+    found = classes_and_links(table(spark, d, "pair_source_a"), "pair_id", CONTENTS, words=4, threshold=_LIKE)
+    return expand_pairs(*found).select(F.col("a").alias("pair_id_a"), F.col("b").alias("pair_id_b"))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every row once: its class of equal phrase sets, the class's links, and the group that links hold together."""
-    members, links = _near(spark, d)
-    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    groups = comp.components(links.select(F.col("a").cast("string").alias("u"), F.col("b").cast("string").alias("v")))
-    groups = groups.withColumn("class_id", F.col("node").cast("long")).select("class_id", F.col("component").alias("c"))
-    least = groups.groupBy("c").agg(F.min("class_id").alias("group_id"))
-    groups = groups.join(least, "c").select("class_id", "group_id")
-    out = members.join(ends, "class_id", "left").join(groups, "class_id", "left")
-    return out.select(F.col("id").alias("pair_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    """Every row once: its class of equal phrase sets, and the group that links between classes hold together."""
+    return groups(table(spark, d, "pair_source_a"), "pair_id", CONTENTS, words=4, threshold=_LIKE).withColumnRenamed("id", "pair_id")
 
 
 # --- 3: the same records on both sides of the split ---
@@ -65,9 +58,8 @@ def split_name(c: F.Column) -> F.Column:
 
 
 def _crossing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "pair_source_a").withColumn("part", split_name(F.col("split")))
-    picked = rows.select(F.col("pair_id").alias("id"), "part", "source_dataset", *CONTENTS)
-    return picked, overlaps(picked.where("part = 'train'"), picked.where("part in ('validation', 'test')"), CONTENTS, words=4, threshold=Fraction(17, 20))
+    rows = table(spark, d, "pair_source_a").select(F.col("pair_id").alias("id"), split_name(F.col("split")).alias("part"), "source_dataset", *CONTENTS)
+    return rows, crossing(rows.withColumn("held", F.col("part") != "train"), CONTENTS, words=4, threshold=Fraction(17, 20))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +67,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("pair_id_a"), F.greatest("train_id", "eval_id").alias("pair_id_b"))
 
 
+def p3_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Each overlapping pair with the share of the evaluation record's phrases that the training record contains."""
+    _, pairs = _crossing(spark, d)
+    return pairs.select("train_id", "eval_id", "shared", "phrases", (F.col("shared") / F.col("phrases")).alias("containment"))
+
+
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation split and source: overlapping pairs, and how many of its records occur in training."""
     rows, pairs = _crossing(spark, d)
@@ -154,6 +152,12 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(docs, "doc_id", "text", shared_spans(docs, "doc_id", "text", 200)).withColumnRenamed("id", "doc_id")
 
 
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text less the sentences that a repeated run covers, as its length and digest."""
+    kept = without_repeats(table(spark, d, "documents"), "doc_id", "text")
+    return kept.select(F.col("id").alias("doc_id"), "removed", F.length("text").cast("long").alias("chars_kept"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 _WORDS = "regexp_extract_all(coalesce({c}, ''), '[A-Za-z0-9_]+')"
 _PHRASES = "list_transform(range(1, len({w}) - 2), lambda i: {w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2] || ' ' || {w}[i + 3])"
 
@@ -200,6 +204,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found,
         "p2_groups": p2_groups,
         "p3_found": p3_found,
+        "p3_containment": p3_containment,
         "p3_counts": p3_counts,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
@@ -211,6 +216,7 @@ def queries() -> dict[str, Query]:
         "p8_containers": p8_containers,
         "p9_found": p9_found,
         "p9_shared": p9_shared,
+        "p9_cleaned": p9_cleaned,
     }
 
 

@@ -58,6 +58,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8), offsets
 
 
+def is_word(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII letters, digits or underscores."""
+    return _WORD[data]
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts together have about ``limit`` bytes; a longer text stands alone, whole."""
     i, n = 0, len(offsets) - 1
