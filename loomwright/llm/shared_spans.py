@@ -97,8 +97,9 @@ def anchors(points: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     starts = sentence_starts(points)
     ends = sentence_runs(starts, length // 4)
     starts = starts[: len(ends)]
-    lo = np.searchsorted(starts, window + 2)
-    hi = np.searchsorted(ends, window + length, side="right") - 1
+    # starts before a window's third place, and ends up to its end
+    lo = np.cumsum(np.bincount(starts, minlength=len(points) + 1))[window + 1]
+    hi = np.cumsum(np.bincount(ends, minlength=len(points) + 1))[window + length] - 1
     held = hi >= lo
     if held.any():
         keys = _run_hashes(points, starts, ends)

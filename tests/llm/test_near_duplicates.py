@@ -57,10 +57,56 @@ def test_pairs_equal_brute_force(spark, seed):
         assert got[i] == (min(same) if same else i)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_groups_equal_brute_force(spark, seed):
+    rows = corpus(seed)
+    sets = {i: phrases(a, b) for i, a, b in rows}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and likeness(sets[i], sets[j]) >= Fraction(7, 10):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    df = spark.createDataFrame(rows, "pair_id long, old_contents string, new_contents string").withColumn("band", F.lit("clash")).withColumn("g", F.lit(0))
+    got = {r["id"]: (r["class_id"], r["group_id"]) for r in nd.groups(df, "pair_id", ["old_contents", "new_contents"]).collect()}
+    assert {i: g for i, (_, g) in got.items()} == {i: top(i) for i in sets}
+    assert all(c == min([j for j in sets if sets[i] and sets[j] == sets[i]], default=i) for i, (c, _) in got.items())
+
+
+def test_many_revisions_make_few_links(spark, monkeypatch):
+    # each revision differs from the others in a few words: all pairs are alike, and links stay in proportion to the rows
+    rnd = random.Random(9)
+    base = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        x = list(base)
+        for _ in range(3):
+            x[rnd.randrange(300)] = f"edit{i}_{rnd.randrange(99)}"
+        rows.append((i, " ".join(x), None))
+    seen, plain = [], nd.likeness_at_least
+
+    def counted(pairs, sets, threshold):
+        seen.append(pairs.count())
+        return plain(pairs, sets, threshold)
+
+    monkeypatch.setattr(nd, "likeness_at_least", counted)
+    df = spark.createDataFrame(rows, "pair_id long, old_contents string, new_contents string")
+    got = nd.groups(df, "pair_id", ["old_contents", "new_contents"]).collect()
+    assert {r["group_id"] for r in got} == {0}
+    assert sum(seen) < 45 * 400  # a link a band and row at most, where all pairs would be 79,800
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "pair_id long, old_contents string, new_contents string")
     members, links = nd.classes_and_links(df, "pair_id", ["old_contents", "new_contents"])
     assert members.count() == 0 and links.count() == 0
+    assert nd.groups(df, "pair_id", ["old_contents", "new_contents"]).count() == 0
 
 
 def test_min_max_signature_estimates_likeness():
@@ -99,6 +145,12 @@ def test_crossing_pairs_equal_brute_force(spark, seed):
     frames = [spark.createDataFrame(x, "id long, o string, n string") for x in (train, held)]
     got = cross_split.overlaps(*frames, ["o", "n"])
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    # containment of the evaluation record: of the contents that are like enough the greatest share
+    every = frames[0].selectExpr("*", "false as held").unionByName(frames[1].selectExpr("*", "true as held")).unionByName(frames[1].selectExpr("id + 1000 as id", "o", "n", "cast(null as boolean) as held"))
+    for r in cross_split.crossing(every, ["o", "n"]).collect():
+        a, b = rows[r["train_id"]][1:], rows[r["eval_id"]][1:]
+        shares = [Fraction(len(phrases(x) & phrases(y)), len(phrases(y))) for x in a for y in b if phrases(x) and likeness(phrases(x), phrases(y)) >= Fraction(17, 20)]
+        assert Fraction(r["shared"], r["phrases"]) == max(shares)
     empty = frames[1].where("false")
     assert cross_split.overlaps(frames[0], empty, ["o", "n"]).count() == 0
 
@@ -112,3 +164,19 @@ def test_prefixes_share_an_ngram():
         other = np.unique(np.concatenate([base[: rnd.randint(0, len(base))], np.array([rnd.getrandbits(64) for _ in range(rnd.randint(0, 5))], np.uint64)]))
         if len(other) and likeness(set(base.tolist()), set(other.tolist())) >= t:
             assert set(cross_split.prefix(base, rank, t).tolist()) & set(cross_split.prefix(other, rank, t).tolist())
+
+
+def test_tables_are_merged_over_many_tasks(spark, monkeypatch):
+    from loomwright.llm import fixed_tables as ft
+
+    monkeypatch.setattr(ft, "FAN_IN", 3)
+    monkeypatch.setattr(ft, "CHUNK", 1 << 10)
+    df = spark.range(0, 5000, 1, 20).selectExpr("array(id * 7919, id) as h")
+    seen = np.frombuffer(ft.bit_map(df, 16), np.uint8)
+    held = np.array([x for i in range(5000) for x in (i * 7919, i)], np.uint64)
+    assert ft.is_marked(seen, held, 16).all()
+    assert ft.is_marked(seen, np.arange(10**9, 10**9 + 1000, dtype=np.uint64), 16).mean() < 0.25
+    texts = spark.createDataFrame([("a b c d e",)] * 30, "t string").repartition(10)
+    monkeypatch.setattr(ft, "TASKS", 4)
+    sketch = cross_split.frequency_sketch(texts, ["t"], 4, 10)
+    assert sorted(sketch[sketch > 0].tolist()) == [round(8 * np.log2(31))] * 2

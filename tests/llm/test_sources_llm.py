@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from loomwright.llm import sources as s
@@ -39,9 +40,11 @@ def test_claims_and_lines():
     names, owners = s.claims("// Part of big-lib (1.2.3)\n// Copyright (c) 2019 the big-lib contributors\nnamespace big_lib {\n")
     assert owners == ["biglib"] and names == ["biglib"]
     assert s.claims("int x; // Part of other (1.2)\n") == ([], [])
-    a = s.line_hashes(b"  int the_first_long_line = 1;\r\nshort\n#include <something_long_enough>\n")
-    assert list(a) == list(s.line_hashes(b"\tint the_first_long_line = 1;\n"))
-    assert len(s.line_hashes(b"")) == 0
+    a = s.line_hashes(b"  int the_first_long_line = 1;\r\nshort\n}\n\n  { }\n")
+    assert list(a) == sorted([*s.line_hashes(b"\tint the_first_long_line = 1;\n"), *s.line_hashes(b"short")])
+    assert sorted((a & np.uint64(4095)).tolist()) == [1, 3]
+    assert len(s.line_hashes(b"")) == 0 and len(s.line_hashes(b"}\n{\n\n")) == 0
+    assert (s.line_hashes(b"w " * 10_000) & np.uint64(4095)).tolist() == [4095]
 
 
 def test_verdicts(spark):
@@ -99,7 +102,8 @@ def test_every_holder_is_compared(spark):
     got = {r["pair_id"]: (r["verdict"], r["of_pair"]) for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
     sets = {r[0]: set(s.line_hashes(r[3].encode()).tolist()) for r in rows}
     for p, lines in sets.items():
-        able = {q for q, x in sets.items() if q < p and len(lines & x) >= max(0.5 * len(lines), 4)}
+        words = lambda x: sum(h & 4095 for h in x)
+        able = {q for q, x in sets.items() if q < p and words(lines & x) >= max(0.5 * words(lines), 16)}
         assert (got[p][0] == "vendored") == bool(able), p
         assert got[p][1] in able if able else got[p][1] is None, p
     assert sum(v == "vendored" for v, _ in got.values()) >= 12
@@ -114,6 +118,40 @@ def test_hot_lines_are_salted(spark, monkeypatch):
     assert {p for p, v in got.items() if v == "vendored"} == set(range(2, 13))
 
 
+@pytest.mark.parametrize("k", [3, 5, 10, 20])
+@pytest.mark.parametrize("pointed", [0.2, 2.0])
+def test_all_edited_copies_are_found(spark, monkeypatch, k, pointed):
+    monkeypatch.setattr(s, "POINTED", pointed)
+    # copies hold 55 to 65 of 100 lines of their source, each another part, and stand in k projects
+    lib = [f"static int library_function_number_{i}(int a, int b);" for i in range(100)]
+    rows = [(1, "h/o/source", "src/a.c", "\n".join(lib), "2019-01-01")]
+    for c in range(k):
+        own = {(c * 13 + j * 7) % 100 for j in range(35 + c % 11)}
+        rows.append((c + 2, f"h/p{c}/r{c}", "src/a.c", "\n".join(f"static int edited_{c}_function_number_{i}(long x);" if i in own else x for i, x in enumerate(lib)), f"2020-01-{c + 1:02d}"))
+    got = {r["pair_id"]: r["verdict"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
+    assert got == {1: "handwritten"} | dict.fromkeys(range(2, k + 2), "vendored")
+
+
+def test_common_header_makes_no_copy(spark):
+    header = "/*\n" + "".join(f" * The users of this file may do so under the rule number {i} of the house of this project.\n" for i in range(12)) + " */\n"
+    rows = [(i, f"h/o{i}/r{i}", "src/a.c", header + "".join(f"int function_{i}_of_its_own_{j}(int a, char *b);\n" for j in range(8)), f"2020-01-0{i}") for i in (1, 2)]
+    got = {r["pair_id"]: r["verdict"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
+    assert got == {1: "handwritten", 2: "handwritten"}
+
+
+def test_short_files_of_short_or_long_lines_are_compared(spark):
+    lines = "".join(f"#define K{i} {i}\n" for i in range(9))
+    one = "var a=" + "+".join(f"f{i}(x{i})" for i in range(80))
+    rows = [(1, "h/a/a", "a.h", lines, "2020-01-01"), (2, "h/b/b", "b.h", lines, "2020-01-02"), (3, "h/a/a", "a.js", one, "2020-01-01"), (4, "h/b/b", "b.js", one, "2020-01-02"), (5, "h/c/c", "c.h", "int x;\n", "2020-01-01"), (6, "h/d/d", "d.h", "int x;\n", "2020-01-02")]
+    got = {r["pair_id"]: r["of_pair"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
+    assert got == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None}
+
+
+@pytest.mark.parametrize("text", ["{\n" + "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12,\n" * 3 + "}\n", "x" * 400])
+def test_few_lines_can_tell(text):
+    assert s.composition(text) == ("data" if "1," in text else "minified")
+
+
 @pytest.mark.parametrize("line", ["0x4f,", "255,", "    7,", "        0x4f,"])
 def test_one_short_literal_a_line_is_data(line):
     assert s.composition("const unsigned char blob[] = {\n" + (line + "\n") * 300 + "};\n") == "data"
