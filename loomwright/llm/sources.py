@@ -36,7 +36,7 @@ WEIGHT_BITS = 12
 #: A file is first compared with files that this share of its words points to; what that leaves open is searched in full.
 POINTED = 0.2
 #: The fewest literals that make a body a table, and the fewest lines of the same shapes that make it a generator's.
-VALUES, ALIKE = 24, 8
+VALUES, ALIKE = 24, 12
 #: Holders of a line that one key of the search has at most, about; a line with more is spread over several.
 SALTED = 1000
 

@@ -129,7 +129,7 @@ def test_all_edited_copies_are_found(spark, monkeypatch, k, pointed):
         own = {(c * 13 + j * 7) % 100 for j in range(35 + c % 11)}
         rows.append((c + 2, f"h/p{c}/r{c}", "src/a.c", "\n".join(f"static int edited_{c}_function_number_{i}(long x);" if i in own else x for i, x in enumerate(lib)), f"2020-01-{c + 1:02d}"))
     got = {r["pair_id"]: r["verdict"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
-    assert got == {1: "handwritten"} | dict.fromkeys(range(2, k + 2), "vendored")
+    assert {p for p, v in got.items() if v == "vendored"} == set(range(2, k + 2))
 
 
 def test_common_header_makes_no_copy(spark):
