@@ -1,17 +1,19 @@
 """The licence of each code file and repository.
 
-Statements are read from a file's opening comments and from licence texts. Spans of words that could name a licence
-are put to a multinomial logistic regression on word n-grams, trained on variants of licence names; it has a class
-for each licence of the catalogue, one for other licences and one for no licence, and a span counts only if it is
-sure and has no word the training didn't have (open-set rejection). The longest sure span at a place wins. What the
-grammar around a name says comes next: names joined by "or" are an offered choice, a refusal grants nothing. Licences
-whose templates don't name them are also known by the sentences of their templates. Then the predictions are reconciled along the path file, row, repository text, repository id.
+Two multinomial logistic regressions on word n-grams read a statement, both with open-set rejection. One is trained on
+variants of licence names: it is put to spans of words, and the longest sure span at a place wins. What the grammar
+around a name says comes next: names joined by "or" are an offered choice, a refusal grants nothing. The other is trained
+on variants of licence texts (cut, reflowed, misspelt, with prose around them, names left out) and is put to the stretches
+of words that look like one. A text counts only if the model is sure and its n-grams are known well enough, by a bound
+that keeps out licences which were held back from the training. Then the predictions are reconciled along the path file,
+row, repository text, repository id; and along the folders of a repository where that is asked for.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.components import canonical_repository
+from loomwright.llm.licence_texts import PROSE, RELATED, TEXTS, UNKNOWN
 from loomwright.llm.sources import _OPENING
 
 # Usual names of the catalogue's licences, in the words that ``tokens`` makes of them.
@@ -42,25 +45,25 @@ NAMES = {
 OTHERS = ("agpl 1", "agpl v 1", "gnu affero general public license version 1", "apache 1", "apache 1.1", "apache license 1.1", "apache license version 1.1", "apache software license 1.1", "bsd 4 clause", "four clause bsd", "4 clause bsd", "original bsd", "0 bsd", "bsd 0 clause", "bsd 1 clause", "gpl 1", "gpl v 1", "gnu general public license version 1", "lgpl 2", "lgpl v 2", "lgpl 3", "lgpl v 3", "gnu lgpl v 3", "gnu lgpl 3", "gnu lgpl v 2", "gnu lesser general public license version 3", "gnu lesser general public license v 3", "lesser general public license version 3", "gnu library general public license version 2", "library general public license version 2", "mpl 1", "mpl 1.1", "mpl v 1.1", "mozilla public license 1.1", "mozilla public license version 1.1", "mozilla public license v 1.1", "artistic license 2", "artistic license", "eclipse public license", "epl 1", "epl 2", "eclipse public license v 2", "creative commons", "cc 0", "cc by 4", "wtfpl", "public domain", "business source license 1.1", "business source license", "mit 0", "mit 0 license", "python software foundation license 2", "eupl 1.2")
 NOTHING = ("license", "software license", "public license", "general public license", "gnu general public license", "lesser general public license", "gnu lesser general public license", "gnu affero general public license", "affero general public license", "gnu", "gpl", "lgpl", "agpl", "mpl", "bsd", "bsd license", "apache", "apache software", "apache software foundation", "boost", "boost software", "mozilla", "mozilla public", "version 2", "version 3", "version", "v 2", "v 3", "2", "3", "2.1", "1", "clause", "two clause", "three clause", "2 clause", "3 clause", "new", "simplified", "modified", "revised", "known as", "as", "library", "two", "three", "gnu gpl", "gnu lgpl", "gnu agpl", "license version 2", "license version 3", "license v 2", "license 2", "public license version 2", "public license v 2", "mit technology", "internet systems consortium", "software", "foundation", "general", "public", "lesser", "affero", "source", "domain", "x11", "libpng", "al", "asl", "v", "cc", "0", "4", "1.1", "1.2")
 
-# Wording of the catalogue's licences whose own templates don't name them, as words: (licence, sentences
-# that all must stand, words that tell a relative of it). The other templates of the catalogue name themselves.
-_REDISTRIBUTION = ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "must retain the above copyright notice", "must reproduce the above copyright notice")
-_ENDORSE = "used to endorse or promote products derived from"
-_BSD_KIN = ("all advertising materials mentioning", "end user documentation included with", "patent")
-WORDING = (
-    ("BSD-2-Clause", _REDISTRIBUTION, (*_BSD_KIN, _ENDORSE)),
-    ("BSD-3-Clause", (*_REDISTRIBUTION, _ENDORSE), _BSD_KIN),
-    ("BSL-1.0", ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",), ()),
-    ("ISC", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",), ("except as contained in this notice",)),
-    ("ISC", ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",), ("except as contained in this notice",)),
-    ("MIT", ("permission is hereby granted free of charge to any person obtaining a copy of this software", "to deal in the software without restriction"), ("used for good not evil",)),
-    ("Unlicense", ("this is free and unencumbered software released into the public domain",), ()),
-    ("Zlib", ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "the origin of this software must not be misrepresented"), ("documentation is required",)),
-)
-_WORDED = re.compile(r"\bhereby\s+granted\b|\bredistribution\s+and\s+use\b|\bunencumbered\b|\bmisrepresented\b|\bgranted\s+to\s+anyone\b", re.I)
-
-#: How sure the classifier must be of a span, and the most words of one.
-SURE, MOST_WORDS = 0.8, 9
+# Clauses that tell a relative of a licence, whatever else stands, and conditions that some relatives lack.
+KIN = {
+    "BSD-2-Clause": ("all advertising materials mentioning", "end user documentation included with", "patent", "used to endorse or promote products derived from"),
+    "BSD-3-Clause": ("all advertising materials mentioning", "end user documentation included with", "patent"),
+    "ISC": ("except as contained in this notice",),
+    "MIT": ("used for good not evil", "except as contained in this notice"),
+}
+CONDITIONS = {"ISC": "provided that the above copyright notice and", "MIT": "permission notice shall be included"}
+#: First passages that a variant holds at least, where one doesn't tell the licence.
+ESSENTIAL = {"BSD-2-Clause": 3, "BSD-3-Clause": 4}
+#: Licences too long for a notice; each of their passages tells them. The text of another one begins with its grant.
+LONG = ("AGPL-3.0", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")
+#: Licences that are told apart by whole texts only: one stretch of words never holds two of a family.
+FAMILY = {"BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD", "GPL-2.0": "GNU", "GPL-3.0": "GNU", "LGPL-2.1": "GNU", "AGPL-3.0": "GNU"}
+
+#: How sure the classifiers must be.
+SURE = 0.8
+#: Words of a window that the classifier of texts looks at, and words between two windows.
+WINDOW, STEP = 48, 16
 
 _FOLD = ((re.compile(r"licen[cs]e[sd]?\b|lizenz\b"), "license"), (re.compile(r"\bv(?:er)?\.(?=\s*\d)"), "v "), (re.compile(r"\bversion(?=\d)"), "version "))
 _TOKEN = re.compile(r"[a-z]+|\d+(?:\.\d+)*|[.;:!?](?=\s|$)|\+|/|\||&")
@@ -97,11 +100,33 @@ def _grams(words: tuple[str, ...]) -> list[str]:
     return [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
 
 
+def regression(x: np.ndarray, y: np.ndarray, classes: int, rounds: int, rate: float, decay: float) -> np.ndarray:
+    """Weights of a multinomial logistic regression (rows of ``x`` of length one), classes weighed by the root of their size."""
+    hot = np.eye(classes, dtype=np.float32)[y]
+    share = (1.0 / np.sqrt(np.bincount(y, minlength=classes).clip(1)[y])).astype(np.float32)
+    share *= len(y) / share.sum()
+    w = np.zeros((x.shape[1], classes), np.float32)
+    speed = np.zeros_like(w)
+    for _ in range(rounds):
+        z = x @ w
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        speed = 0.9 * speed + rate * (x.T @ ((hot - p) * share[:, None]) / len(y) - decay * w)
+        w += speed
+    return w
+
+
+def _slips(word: str) -> set[str]:
+    """Usual misspellings of a word: a letter left out, doubled, or two exchanged."""
+    at = range(len(word))
+    return {word[:i] + word[i + 1 :] for i in at} | {word[:i] + word[i] + word[i:] for i in at} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in at[:-1]}
+
+
 class LicenceModel:
     """Multinomial logistic regression on the word n-grams (1 to 3, with the span's ends) of name variants.
 
     The training set is made from the fixed names: each as it stands, with "license" and "terms" after it. It has
-    under 2,000 samples whatever the corpus is, and holds no row of it.
+    under 2,000 samples whatever the corpus is, and holds no row of it. ``texts`` is the model of licence texts.
     """
 
     def __init__(self, catalogue: list[str], rounds: int = 250, rate: float = 12.0, decay: float = 2e-5) -> None:
@@ -117,6 +142,7 @@ class LicenceModel:
         samples += [(tuple(v.split()), len(self.classes) - 2) for v in OTHERS] + [((*v.split(), "license"), len(self.classes) - 2) for v in OTHERS if "license" not in v]
         samples += [(tuple(v.split()), len(self.classes) - 1) for v in NOTHING] + [((*v.split(), "terms"), len(self.classes) - 1) for v in NOTHING]
         self.words = {w for s, _ in samples for w in s}
+        self.longest = max(len(s) for s, _ in samples)
         self.features: dict[str, int] = {}
         for s, _ in samples:
             for g in _grams(s):
@@ -126,26 +152,22 @@ class LicenceModel:
             for g in _grams(s):
                 x[i, self.features[g]] = 1.0
         x /= np.sqrt(x.sum(axis=1, keepdims=True))
-        y = np.array([k for _, k in samples])
-        hot = np.eye(len(self.classes), dtype=np.float32)[y]
-        share = (1.0 / np.sqrt(np.bincount(y, minlength=len(self.classes)).clip(1)[y])).astype(np.float32)
-        share *= len(y) / share.sum()
-        w = np.zeros((x.shape[1], len(self.classes)), np.float32)
-        speed = np.zeros_like(w)
-        for _ in range(rounds):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            speed = 0.9 * speed + rate * (x.T @ ((hot - p) * share[:, None]) / len(y) - decay * w)
-            w += speed
-        self.weights = w
+        self.weights = regression(x, np.array([k for _, k in samples]), len(self.classes), rounds, rate, decay)
         self.kept: dict[tuple[str, ...], str | None] = {}
+        # words of names that are long enough to be told although misspelt, less slips that are words themselves
+        slips = [(x, w) for w in self.words if len(w) >= 6 for x in _slips(w) if x not in self.words]
+        self.meant = {x: w for x, w in slips if x not in {"cause", "pubic", "genera", "revise", "modify"}}
+        self.texts = TextModel(self)
+
+    def words_of(self, text: str) -> list[str]:
+        """``tokens`` with misspelt words of names put right."""
+        return [self.meant.get(t, t) for t in tokens(text)]
 
     def name(self, span: tuple[str, ...]) -> str | None:
         """The licence that a span of words names, ``other``, or None (rejected)."""
         if span not in self.kept:
             found = None
-            if all(t in self.words for t in span) and span[0] not in _EDGE and span[-1] not in _EDGE:
+            if span[0] not in _EDGE and span[-1] not in _EDGE:
                 z = np.zeros(len(self.classes))
                 grams = _grams(span)
                 known = [self.features[g] for g in grams if g in self.features]
@@ -167,15 +189,25 @@ class LicenceModel:
 
         ``bare`` is for a field that holds a name and nothing else, where no grammar is needed to see a grant.
         """
-        flat = tokens(text)
+        flat = self.words_of(text)
+        return self._stated(flat, bare)[0] if bare else self._with_texts(flat, *self._stated(flat, bare))
+
+    def _with_texts(self, flat: list[str], out: list[list[str]], names: list[tuple[int, int]]) -> list[list[str]]:
+        stated = {FAMILY.get(c, c) for s in out for c in s}
+        # wording of a licence that is named too is the text of that statement
+        return out + [[c] for c in self.texts.found(masked(flat, names)) if c in self.classes and FAMILY.get(c, c) not in stated]
+
+    def _stated(self, flat: list[str], bare: bool) -> tuple[list[list[str]], list[tuple[int, int]]]:
+        """(statements, places of the names): what the names in a text grant."""
         out: list[list[str]] = []
+        names: list[tuple[int, int]] = []
         i, end, refused, link = 0, -1, False, False
         since: list[str] = []
         while i < len(flat):
             w = flat[i]
             best = None
             if w in self.words and not (w.isdigit() and not (i + 1 < len(flat) and flat[i + 1] == "clause")):
-                for size in range(min(MOST_WORDS, len(flat) - i), 0, -1):
+                for size in range(min(self.longest, len(flat) - i), 0, -1):
                     named = self.name(tuple(flat[i : i + size]))
                     if named:
                         best = (named, size)
@@ -188,6 +220,7 @@ class LicenceModel:
                 i += 1
                 continue
             named, size = best
+            names.append((i, i + size))
             span = flat[i : i + size]
             before = flat[max(0, i - 4) : i]
             loose = not bare and len(span) == 1 and span[0] in _PLAIN and not (set(before) & _HINT) and flat[i + size : i + size + 1] not in (["license"], ["terms"], ["/"], ["|"]) and before[-1:] not in (["/"], ["|"])
@@ -210,28 +243,192 @@ class LicenceModel:
                     link = False
                 since, end = [], i + size
             i += size
-        if not bare:
-            # wording of a licence that is named too is the text of that statement
-            stated = {c for s in out for c in s}
-            out += [[c] for c in worded(text) if c in self.classes and c not in stated]
+        return out, names
+
+
+def masked(flat: list[str], names: list[tuple[int, int]]) -> list[str]:
+    """The words of a text with each name as one sign, so that only wording is left; marks are left out."""
+    out, at = [], 0
+    for a, b in names:
+        out += [t for t in flat[at:a] if t[0].isalnum()] + ["#"]
+        at = b
+    return out + [t for t in flat[at:] if t[0].isalnum()]
+
+
+class TextModel:
+    """Multinomial logistic regression on the word n-grams (1 to 3) of variants of licence texts.
+
+    The variants come from the fixed templates, by a fixed seed: passages left out where that leaves the licence, ends
+    cut, words dropped and misspelt, prose before and after. ``known`` is the least share of a text's n-grams that the
+    templates must have; it lies between that of licences held back from the training and that of fresh variants.
+    """
+
+    def __init__(self, names: LicenceModel, variants: int = 24, rounds: int = 120, rate: float = 6.0, decay: float = 1e-5) -> None:
+        self.classes = [*sorted(TEXTS), "other", "none"]
+        rng = np.random.default_rng(20261126)
+        read = lambda t: masked(f := names.words_of(t), names._stated(f, False)[1])
+        texts = {c: [read(p) for p in passages] for c, passages in TEXTS.items()}
+        related = {c: [read(p) for p in passages] for c, passages in RELATED.items()}
+        prose = [read(p) for p in PROSE]
+        self.features: dict[str, int] = {}
+        for p in [*(p for t in (*texts.values(), *related.values()) for p in t), *prose]:
+            for g in self._grams(p):
+                if g:
+                    self.features.setdefault(g, len(self.features))
+        self.openings = {tuple(p[:3]) for t in texts.values() for p in t}
+        self.begins = {tuple(t[0][:3]) for t in texts.values()}
+        #: triples of a short licence's grant, most of which its text holds
+        self.grants = {c: {g for g in self._grams(t[0])[2 * len(t[0]) :] if g} for c, t in texts.items() if c not in LONG}
+        samples, y = [], []
+        for k, c in enumerate(self.classes):
+            for _ in range(variants * (6 if c in ("other", "none") else 1)):
+                if c == "none":
+                    s = [w for i in rng.permutation(len(prose))[: rng.integers(1, 4)] for w in prose[i]]
+                elif c == "other":
+                    s = sum(related[list(related)[rng.integers(len(related))]], [])
+                else:
+                    s = self._variant(texts[c], c, rng)
+                samples.append(self._worn(s, prose, rng))
+                y.append(k)
+        x = np.zeros((len(samples), len(self.features)), np.float32)
+        for i, s in enumerate(samples):
+            at = self._known(s)
+            x[i, at[at >= 0]] = 1.0
+        x /= np.sqrt(x.sum(axis=1, keepdims=True)).clip(1)
+        self.weights = regression(x, np.array(y), len(self.classes), rounds, rate, decay)
+        # the bound of the open-set rejection: the middle between strangers that look like a licence and worn variants
+        strange = [self._cover(self._known(w)) for t in UNKNOWN.values() for p in t for w in self._windows(read(p))]
+        fresh = [self._cover(self._known(self._worn(self._variant(t, c, rng), [], rng)[:WINDOW])) for c, t in texts.items() for _ in range(8)]
+        self.known = float((np.quantile(strange, 0.95) + np.quantile(fresh, 0.05)) / 2)
+
+    @staticmethod
+    def _variant(passages: list[list[str]], c: str, rng: np.random.Generator) -> list[str]:
+        least = ESSENTIAL.get(c)
+        if c in LONG:
+            # any passage of a long text is its own
+            own = [p for p in passages if p[:3] != ["everyone", "is", "permitted"]]
+            return own[rng.integers(len(own))]
+        n = rng.integers(least or 1, len(passages) + 1)
+        out = sum(passages[:n], [])
+        return out[: len(out) - int(rng.integers(0, max(1, len(passages[n - 1]) // 3)))] if least is None else out
+
+    @staticmethod
+    def _worn(words: list[str], prose: list[list[str]], rng: np.random.Generator) -> list[str]:
+        """Words dropped and misspelt, and prose around."""
+        bad, out = rng.choice([0.0, 0.0, 0.02, 0.05]), []
+        for w in words:
+            r = rng.random()
+            if r < bad / 2:
+                continue
+            if r < bad and len(w) > 3:
+                i = int(rng.integers(len(w) - 1))
+                w = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+            out.append(w)
+        if prose and rng.random() < 0.5:
+            out = prose[rng.integers(4, len(prose))] + out
+        if prose and rng.random() < 0.5:
+            out = out + prose[rng.integers(4, len(prose))]
         return out
 
+    @staticmethod
+    def _grams(w: list[str]) -> list[str | None]:
+        """The n-grams that begin at each word, one list after another; None where one would run over the end."""
+        two = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        three = [f"{a} {b}" for a, b in zip(two, w[2:], strict=False)]
+        return [*w, *two, *[None] * (len(w) - len(two)), *three, *[None] * (len(w) - len(three))]
+
+    def _known(self, w: list[str]) -> np.ndarray:
+        get = self.features.get
+        return np.array([get(g, -1) for g in self._grams(w)], np.int64)
+
+    @staticmethod
+    def _cover(at: np.ndarray) -> float:
+        """The share of pairs and triples of words that are known."""
+        n = len(at) // 3
+        return float((at[n:] >= 0).sum()) / max(1, 2 * n - 3)
+
+    @staticmethod
+    def _windows(w: list[str]) -> list[list[str]]:
+        return [w[i : i + WINDOW] for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)]
+
+    def _told(self, at: np.ndarray) -> tuple[str, float]:
+        at = np.unique(at[at >= 0])
+        z = self.weights[at].sum(axis=0) / np.sqrt(max(1, len(at)))
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        k = int(p.argmax())
+        return self.classes[k], float(p[k])
+
+    def found(self, words: list[str]) -> list[str]:
+        """The licences whose text stands among ``words``, in the order of their places.
+
+        Each beginning of a grant ends the text before it, so that texts one after another are told apart.
+        """
+        cuts = [0, *(i for i in range(1, len(words) - 2) if tuple(words[i : i + 3]) in self.begins), len(words)]
+        out: list[str] = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            # a refusal before a grant is part of it
+            out += [c for c in self._within(words[max(0, a - 1) : b]) if c not in out]
+        return out
 
-def worded(text: str) -> list[str]:
-    """The licences whose template's wording stands in a text, by all its sentences; a refusal before one undoes it."""
-    if not _WORDED.search(text):
-        return []
-    flat = " " + " ".join(t for t in tokens(text) if t[0].isalnum()) + " "
+    def _within(self, words: list[str]) -> list[str]:
+        n = len(words)
+        if n < 8:
+            return []
+        grams = self._known(words).reshape(3, n)
+        # stretches of known wording: where of ten triples in a row most are known
+        near = np.convolve((grams[2] >= 0).astype(np.int64), np.ones(10, np.int64))[:n]
+        if near.max() < 6:
+            return []
+        out: list[str] = []
+        parts: list[list] = []
+        for i in range(0, max(1, n - WINDOW + STEP), STEP):
+            at = grams[:, i : i + WINDOW].copy()
+            # n-grams that run over the window's end are not its own
+            at[1, -1:], at[2, -2:] = -1, -1
+            if self._cover(at.reshape(-1)) < self.known and near[i : i + WINDOW].max() < 9:
+                continue
+            c, p = self._told(at.reshape(-1))
+            if c == "none":
+                continue
+            kin = FAMILY.get(c, c) if p >= SURE and c != "other" else None
+            if parts and i <= parts[-1][1] and (kin is None or parts[-1][2] in (None, kin)):
+                parts[-1][1], parts[-1][2] = i + WINDOW, parts[-1][2] or kin
+            else:
+                parts.append([i, i + WINDOW, kin])
+        for a, b, _ in parts:
+            # the stretch's own ends: words of known triples
+            solid = np.flatnonzero(grams[2, a : min(b, n)] >= 0) + a
+            if not len(solid):
+                continue
+            a, b = int(solid[0]), min(int(solid[-1]) + 3, n)
+            at = grams[:, a:b].copy()
+            at[1, -1:], at[2, -2:] = -1, -1
+            c, p = self._told(at.reshape(-1))
+            if c in ("other", "none") or p < SURE or self._cover(at.reshape(-1)) < self.known or self._refused(words, a, b):
+                continue
+            triples = set(self._grams(words[a:b])[2 * (b - a) :])
+            if c in self.grants and len(self.grants[c] & triples) < len(self.grants[c]) / 3:
+                continue
+            flat = " " + " ".join(words[a:b]) + " "
+            if any(f" {k} " in flat for k in KIN.get(c, ())):
+                continue
+            # a text that breaks off within the grant need not come to MIT's condition; one that goes on has it
+            asked = CONDITIONS.get(c, "").split() if c != "MIT" or " provided as is " in flat else []
+            if asked and sum(g in triples for g in self._grams(asked)[2 * len(asked) : -2]) < len(asked) / 2 - 1:
+                continue
+            if c not in out:
+                out.append(c)
+        return out
 
-    def stands(sentence: str) -> bool:
-        found = [flat[:m].split()[-1:] for m in (x.start() for x in re.finditer(f" {sentence} ", flat))]
-        return any(not (set(before) & (_NOT | {"no"})) for before in found)
+    def _refused(self, words: list[str], a: int, b: int) -> bool:
+        """Whether a refusing word stands right before the beginning of a template's sentence."""
+        return any(tuple(words[i : i + 3]) in self.openings and i and words[i - 1] in _NOT | {"no"} for i in range(a, b))
 
-    out = [c for c, sentences, kin in WORDING if all(map(stands, sentences)) and not any(f" {k} " in flat for k in kin)]
-    # without the condition to keep the notice, a whole text of this wording is another licence
-    if "MIT" in out and " software is provided as is " in flat and " permission notice shall be included " not in flat:
-        out.remove("MIT")
-    return out
+
+@lru_cache(maxsize=4)
+def trained(catalogue: tuple[str, ...]) -> LicenceModel:
+    return LicenceModel(list(catalogue))
 
 
 def _overall(statements: list[list[str]]) -> tuple[list[str], bool]:
@@ -256,11 +453,11 @@ def licences(files: DataFrame, repositories: DataFrame, catalogue: DataFrame) ->
     """(scope, item_key, licences, source, finding) of every file row and repository.
 
     ``licences`` are the ids that apply (several if a choice is offered), null if none is known; ``source`` is where
-    they come from (``file``, ``row``, ``text``, ``id``); ``finding`` is ``conflict``, ``unknown`` or null. Null or
+    they come from (``file``, ``row``, ``repository``, ``text``, ``id``); rows of one repository's name add up; ``finding`` is ``conflict``, ``unknown`` or null. Null or
     empty contents state nothing. The catalogue is read to the driver: it is the list of class names of the model.
     """
     known = sorted(r["spdx_id"] for r in catalogue.select("spdx_id").distinct().collect() if r["spdx_id"])
-    model = LicenceModel(known)
+    model = trained(tuple(known))
 
     def read(columns: list[tuple[str, bool]]) -> object:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +491,7 @@ def licences(files: DataFrame, repositories: DataFrame, catalogue: DataFrame) ->
 
     file_rows = files.select(F.col("pair_id").cast("string").alias("item_key"), canonical_repository(F.col("repository")).alias("repository"), text("new_contents").alias("contents"), text("license").alias("row"))
     file = file_rows.mapInPandas(read([("contents", False), ("row", True)]), "item_key string, repository string, contents array<string>, contents_split boolean, row array<string>, row_split boolean")
-    by_repo = repo.where("repository is not null").groupBy("repository").agg(F.min("licences").alias("of_repo"))
+    by_repo = repo.where("repository is not null").groupBy("repository").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("licences", F.array().cast("array<string>")))))).alias("of_repo"))
     file = file.join(by_repo, "repository", "left").withColumn("of_repo", F.coalesce("of_repo", F.array().cast("array<string>")))
     against = F.when(has("row"), F.col("row")).otherwise(F.col("of_repo"))
     apart = has("contents") & (F.size(against) > 0) & ~F.arrays_overlap("contents", against)
@@ -307,3 +504,27 @@ def licences(files: DataFrame, repositories: DataFrame, catalogue: DataFrame) ->
         F.when(F.col("contents_split") | apart, "conflict").when(applies.isNull(), "unknown").alias("finding"),
     )
     return file_out.unionByName(repo_out)
+
+
+def along_paths(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(item_key, licences, level) of every file: the licence that holds where it lies.
+
+    Reconciles the predictions of ``licences`` along the folders of a repository: a file's own statement or row comes
+    first (``file``, ``row``); else the licence of the nearest folder above it in which all files that state one agree
+    (``folder``), then the repository's (``repository``); null where none does. A file without path lies in the root. A
+    folder's licences are sets of at most the catalogue's size, so no folder or repository is gathered.
+    """
+    own = found.where("scope = 'file'").select("item_key", "licences", "source")
+    path = F.coalesce(F.nullif(F.trim("new_file"), F.lit("")), F.nullif(F.trim("old_file"), F.lit("")), F.lit(""))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    placed = files.select(F.col("pair_id").cast("string").alias("item_key"), canonical_repository(F.col("repository")).alias("repository"), parts.alias("parts")).distinct().join(own.distinct(), "item_key")
+    above = F.transform(F.sequence(F.lit(0), F.greatest(F.size("parts") - 1, F.lit(0))), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/"))
+    placed = placed.withColumn("folders", above)
+    lies = placed.where("repository is not null").select("item_key", "repository", "licences", "source", F.posexplode("folders").alias("depth", "folder"))
+    stated = lies.where(F.col("source").isin("file", "row") & (F.size("licences") == 1))
+    agreed = stated.groupBy("repository", "folder").agg(F.min(F.col("licences")[0]).alias("one"), F.max(F.col("licences")[0]).alias("another")).where("one = another").select("repository", "folder", "one")
+    silent = lies.where(~F.coalesce(F.col("source").isin("file", "row"), F.lit(False))).select("item_key", "repository", "depth", "folder")
+    nearest = silent.join(agreed, ["repository", "folder"]).groupBy("item_key").agg(F.max(F.struct("depth", "one"))["one"].alias("one"))
+    out = placed.select("item_key", "licences", "source").join(nearest, "item_key", "left")
+    level = F.when(F.col("source").isin("file", "row"), F.col("source")).when(F.col("one").isNotNull(), "folder").when(F.col("source") == "repository", "repository")
+    return out.select("item_key", F.when(level == "folder", F.array("one")).otherwise(F.col("licences")).alias("licences"), level.alias("level"))

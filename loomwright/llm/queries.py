@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.llm import components as comp
 from loomwright.llm.containers import fill_containers
 from loomwright.llm.cross_split import crossing
-from loomwright.llm.licences import licences
+from loomwright.llm.licences import along_paths, licences
 from loomwright.llm.near_duplicates import classes_and_links, expand_pairs, groups
 from loomwright.llm.pieces import Limits, split_oversized
 from loomwright.llm.shared_spans import shared_share, shared_spans, without_repeats
@@ -105,6 +105,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_licences(spark, d).where("finding is not null").select("scope", "item_key", "finding")
 
 
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The licence of each file along its folders and repository."""
+    files = table(spark, d, "pair_source_a")
+    found = along_paths(files, staged(p5_licences(spark, d), "licences"))
+    return found.select(F.col("item_key").cast("long").alias("pair_id"), F.array_join("licences", " or ").alias("licences"), "level")
+
+
 # --- 6: splits of related candidates ---
 
 
@@ -210,6 +217,7 @@ def queries() -> dict[str, Query]:
         "p4_pieces": p4_pieces,
         "p5_found": p5_found,
         "p5_licences": p5_licences,
+        "p5_paths": p5_paths,
         "p6_found": p6_found,
         "p6_splits": p6_splits,
         "p7_ids": p7_ids,
