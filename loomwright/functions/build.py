@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os.path
+import posixpath
 import re
 import shlex
 import xml.etree.ElementTree as ET
@@ -120,42 +121,121 @@ def test_results(text: str | None, roots: dict[str, str] | None = None) -> list[
     return sorted(out.values()) or None
 
 
-# Arguments that name outputs or dependency files (the first kind with a value after it), and such that
-# run other programs or read files of arguments.
-_DROP_VALUE = frozenset({"-o", "-MF", "-MT", "-MQ", "--serialize-diagnostics"})
-_DROP = frozenset({"-c", "-S", "-E", "-M", "-MM", "-MD", "-MMD", "-MP", "-MG", "-save-temps"})
-_DANGER = ("@", "-fplugin", "-load", "-Xclang", "-wrapper", "-B", "-specs", "--config")
+# Compile arguments. Those that load or run something, read arguments from elsewhere, write extra files or
+# depend on the machine are refused; outputs, dependency files and the like are left out, some with a value after them.
+_REFUSED = ("--", "--config", "-B", "-Xclang", "-add-plugin", "-cc1", "-ftime-trace", "-load", "-mllvm", "-plugin", "-save-temps", "-wrapper")
+_REFUSED_BEGINNINGS = ("--config=", "-B", "-fpass-plugin", "-fplugin", "-ftime-trace=", "-march=native", "-mcpu=native", "-mtune=native", "-save-temps=", "-specs=", "@")
+_LEFT_OUT = ("-E", "-M", "-MD", "-MG", "-MM", "-MMD", "-MP", "-S", "-c", "-fsyntax-only", "-pipe")
+_LEFT_OUT_BEGINNINGS = ("--serialize-diagnostics=", "-MF", "-MJ", "-MQ", "-MT", "-Werror", "-Wp,-M", "-dependency-file=")
+_LEFT_OUT_WITH_VALUE = ("--serialize-diagnostics", "-MF", "-MJ", "-MQ", "-MT", "-dependency-file", "-o")
+_SHELL = re.compile(r"[\0\n\r|;&<>`]|\$[({]")
+_COMPILERS = re.compile(r"(?:[a-z0-9_.+-]+-)?(?:c\+\+|g\+\+|clang\+\+|gcc|clang)(?:-[0-9.]+)?", re.I)
+_LAUNCHERS = ("ccache", "sccache")
+#: Octets of the largest compile database that is read.
+MOST_OCTETS = 16 << 20
 
+INVOCATION = T.StructType([T.StructField("error", _S), T.StructField("directory", _S), T.StructField("arguments", T.ArrayType(_S)), T.StructField("sha256", _S)])
 
-def syntax_command(database: str | None, source: str | None, compiler: str) -> list[str] | None:
-    """The arguments that parse one source of a compile database, and nothing else, for a compiler of ours.
 
-    Null unless the source has exactly one entry, which names it once and asks for nothing dangerous.
+class _Refused(Exception):
+    """Carries the error code of an input that isn't taken."""
+
+
+def _at(path: object, base: str | None = None) -> str:
+    if not isinstance(path, str) or not path or re.search(r"[\0\n\r]", path):
+        raise _Refused("path")
+    path = path.replace("\\", "/")
+    if not path.startswith("/") and base is None:
+        raise _Refused("path")
+    return posixpath.normpath(posixpath.join(base or "/", path))
+
+
+def _inside(path: str, *roots: str) -> bool:
+    return any(path == r or path.startswith(r.rstrip("/") + "/") for r in roots)
+
+
+def _words(entry: dict) -> list[str]:
+    """The argument list of an entry, which gives either a list or one command line."""
+    if ("arguments" in entry) == ("command" in entry):
+        raise _Refused("form")
+    try:
+        words = entry["arguments"] if "arguments" in entry else shlex.split(entry["command"])
+    except (ValueError, TypeError, AttributeError):
+        raise _Refused("form") from None
+    if not isinstance(words, list) or not words or not all(isinstance(w, str) and w for w in words):
+        raise _Refused("form")
+    return words
+
+
+def _kind(word: str, source: str, directory: str) -> str:
+    """``refused``, ``value`` (left out with the word after it), ``out``, ``source`` or ``kept``."""
+    if _SHELL.search(word):
+        return "refused"
+    if word[0] != "-":
+        if word[0] == "@":
+            return "refused"
+        return "source" if _at(word, directory) == source else "kept"
+    if word in _REFUSED or word.startswith(_REFUSED_BEGINNINGS) or (word.startswith("-o") and word != "-o"):
+        return "refused"
+    if word in _LEFT_OUT_WITH_VALUE:
+        return "value"
+    return "out" if word in _LEFT_OUT or word.startswith(_LEFT_OUT_BEGINNINGS) else "kept"
+
+
+def syntax_command(database: str | None, source: str | None, checkout: str, build: str, compiler: str) -> tuple[str | None, str | None, list[str] | None, str | None]:
+    """(error, directory, arguments, sha256): how to have one source of a compile database parsed, and nothing else.
+
+    Every entry's folder lies in the checkout or the build folder and its source in the checkout; the source has exactly
+    one entry, which names it once, for a known compiler and with no argument that is refused. The hash is over folder,
+    source and arguments with the two roots replaced, so it is the same in any checkout. Error codes: size, json, path,
+    root, entry (none or several), form, compiler, argument, value, source.
     """
     try:
-        entries = json.loads(database or "")
-        mine = [e for e in entries if os.path.normpath(os.path.join(e["directory"], e["file"])) == os.path.normpath(source or "")]
+        if database is None or len(database.encode("utf-8", "surrogatepass")) > MOST_OCTETS:
+            raise _Refused("size")
+        try:
+            entries = json.loads(database)
+        except (ValueError, RecursionError):
+            raise _Refused("json") from None
+        if not isinstance(entries, list) or not entries or not all(isinstance(e, dict) for e in entries):
+            raise _Refused("json")
+        roots = {_at(build): "$BUILD", _at(checkout): "$CHECKOUT"}
+        target, compiler = _at(source, _at(checkout)), _at(compiler)
+        places = [(_at(e.get("directory")), e) for e in entries]
+        files = [(_at(e.get("file"), d), d, e) for d, e in places]
+        if not _inside(target, _at(checkout)) or not all(_inside(d, *roots) and _inside(f, _at(checkout)) for f, d, _ in files):
+            raise _Refused("root")
+        mine = [(d, e) for f, d, e in files if f == target]
         if len(mine) != 1:
-            return None
-        entry = mine[0]
-        argv = list(entry["arguments"]) if "arguments" in entry else shlex.split(entry["command"])
-    except (ValueError, KeyError, TypeError):
-        return None
-    kept, named, rest = [], 0, iter(argv[1:])
-    for a in rest:
-        if not a or a.startswith(_DANGER) or re.search(r"[\0\n\r`$;|&<>]", a) or (a.startswith("-o") and a != "-o"):
-            return None
-        if a in _DROP_VALUE:
-            if next(rest, None) is None:
-                return None
-        elif a not in _DROP:
-            if not a.startswith("-") and os.path.normpath(os.path.join(entry["directory"], a)) == os.path.normpath(source):
-                named += 1
-            else:
-                kept.append(a)
-    return [compiler, *kept, "-fsyntax-only", source] if named == 1 else None
+            raise _Refused("entry")
+        directory, words = mine[0][0], _words(mine[0][1])
+        skip = 2 if posixpath.basename(words[0]) in _LAUNCHERS else 1
+        if len(words) < skip or not _COMPILERS.fullmatch(posixpath.basename(words[skip - 1])):
+            raise _Refused("compiler")
+        words, kept, named = iter(words[skip:]), [], 0
+        for w in words:
+            kind = _kind(w, target, directory)
+            if kind == "refused":
+                raise _Refused("argument")
+            if kind == "value" and next(words, None) is None:
+                raise _Refused("value")
+            if kind == "kept":
+                kept.append(w)
+            named += kind == "source"
+        if named != 1:
+            raise _Refused("source")
+    except _Refused as e:
+        return str(e), None, None, None
+    arguments = [compiler, *kept, "-fsyntax-only", "-Xclang", "-ast-dump=json", target]
+    payload = {"argv": [_rooted(a.replace("\\", "/"), roots) for a in arguments], "directory": _rooted(directory, roots), "source_file": _rooted(target, roots)}
+    return None, directory, arguments, "sha256:" + hashlib.sha256(json.dumps(payload, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 tree_spans_udf = F.udf(tree_spans, T.ArrayType(SPAN), useArrow=True)
 test_catalogue_udf = F.udf(test_catalogue, T.ArrayType(TEST), useArrow=True)
 test_results_udf = F.udf(test_results, T.ArrayType(RESULT), useArrow=True)
+
+
+def syntax_command_udf(checkout: str, build: str, compiler: str) -> object:
+    """A function of (database, source) columns for one checkout."""
+    return F.udf(lambda database, source: syntax_command(database, source, checkout, build, compiler), INVOCATION, useArrow=True)

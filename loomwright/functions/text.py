@@ -7,6 +7,8 @@ import json
 import re
 from pathlib import PurePosixPath
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +36,32 @@ def with_final_newline(c: Column) -> Column:
 
 
 def brace_spans(code: str | None) -> list[tuple[int, int]] | None:
-    """(first, last) line of each pair of matching braces that opens after line 1, in the order of closing."""
+    """(first, last) line of each pair of matching braces that opens after line 1, in the order of closing.
+
+    The depth of a brace is a running sum that starts anew at each closing brace without an open one. Among the braces
+    of one depth, opening and closing ones take turns, so a stable sort by depth puts each pair side by side.
+    """
     if code is None:
         return None
-    opened: list[int] = []
-    out = []
-    for no, line in enumerate(code.splitlines(), 1):
-        for brace in re.findall("[{}]", line):
-            if brace == "{":
-                opened.append(no)
-            elif opened and (first := opened.pop()) > 1:
-                out.append((first, no))
-    return out
+    points = np.frombuffer(code.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero((points == ord("{")) | (points == ord("}")))
+    if not len(at):
+        return []
+    opens = points[at] == ord("{")
+    run = np.cumsum(np.where(opens, 1, -1))
+    floor = np.minimum.accumulate(np.minimum(run, 0))
+    depth = run - floor + ~opens
+    stray = ~opens & (floor < np.concatenate([[0], floor[:-1]]))
+    at, opens, depth = at[~stray], opens[~stray], depth[~stray]
+    order = np.argsort(depth, kind="stable")
+    first, second = order[:-1], order[1:]
+    pair = opens[first] & ~opens[second] & (depth[first] == depth[second])
+    ends = np.cumsum([len(x) for x in code.splitlines(True)])
+    line = np.searchsorted(ends, at, side="right") + 1
+    begin, close = first[pair], second[pair]
+    begin = begin[np.argsort(close)]
+    spans = zip(line[begin].tolist(), line[np.sort(close)].tolist(), strict=True)
+    return [x for x in spans if x[0] > 1]
 
 
 def level(spans: Column, changed: Column, exactly_one: bool = True) -> Column:
@@ -87,7 +103,8 @@ def anchors_of_ranges(total: Column, ranges: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(ranges, one))))
 
 
-# Words before a parenthesis that are no function's name.
+# Words before a parenthesis that are no function's name; ``return`` and ``sizeof`` stand before one too
+# where a brace follows (``return (x) {...}`` of a compound literal), and name none either.
 _CONTROL = ("catch", "for", "if", "return", "sizeof", "switch", "while")
 
 
@@ -139,5 +156,9 @@ def harvest_paths(value: str | None) -> list[str] | None:
     return sorted(safe) or None
 
 
-brace_spans_udf = F.udf(brace_spans, SPANS, useArrow=True)
+@F.pandas_udf(SPANS)
+def brace_spans_udf(code: pd.Series) -> pd.Series:
+    return code.map(brace_spans, na_action="ignore").where(code.notna(), None)
+
+
 harvest_paths_udf = F.udf(harvest_paths, T.ArrayType(T.StringType()), useArrow=True)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from loomwright.functions import build
 
 
@@ -34,9 +36,37 @@ def test_results():
     assert build.test_results("<x") is None
 
 
+ROOTS = ("/r/s", "/r/b", "/bin/cc")
+
+
+def _database(*args, **more):
+    return json.dumps([{"directory": "/r/b", "file": "../s/m.cc", "arguments": ["c++", *args]} | more])
+
+
 def test_syntax_command():
-    db = lambda *args: json.dumps([{"directory": "/r/b", "file": "../s/m.cc", "arguments": ["c++", *args]}])
-    assert build.syntax_command(db("-Iinc", "-c", "../s/m.cc", "-o", "m.o", "-MD", "-MF", "d"), "/r/s/m.cc", "/bin/cc") == ["/bin/cc", "-Iinc", "-fsyntax-only", "/r/s/m.cc"]
-    for bad in (("-fplugin=x.so", "../s/m.cc"), ("@args", "../s/m.cc"), ("../s/m.cc", "../s/m.cc"), ("-om.o", "../s/m.cc"), ("-Ia;b", "../s/m.cc"), ("-o",)):
-        assert build.syntax_command(db(*bad), "/r/s/m.cc", "/bin/cc") is None
-    assert build.syntax_command("[]", "/r/s/m.cc", "/bin/cc") is None
+    error, directory, arguments, key = build.syntax_command(_database("-Iinc", "-c", "../s/m.cc", "-o", "m.o", "-MD", "-MF", "d", "-MFx.d", "-Werror=all", "-Wp,-MD,x.d", "-dependency-file", "d", "-MJ", "x.json"), "m.cc", *ROOTS)
+    assert (error, directory) == (None, "/r/b")
+    assert arguments == ["/bin/cc", "-Iinc", "-fsyntax-only", "-Xclang", "-ast-dump=json", "/r/s/m.cc"]
+    other = json.loads(_database("-Iinc", "/else/s/m.cc"))
+    other[0] |= {"directory": "/else/b", "file": "/else/s/m.cc"}
+    assert build.syntax_command(json.dumps(other), "m.cc", "/else/s", "/else/b", "/bin/cc")[3] == key
+    line = [{"directory": "/r/b", "file": "../s/m.cc", "command": 'ccache x86_64-linux-gnu-g++-13 "-Ia b" -c ../s/m.cc'}]
+    assert build.syntax_command(json.dumps(line), "/r/s/m.cc", *ROOTS)[2][1] == "-Ia b"
+
+
+@pytest.mark.parametrize("bad", ["-march=native", "-cc1", "-mllvm", "-plugin", "-ftime-trace", "-ftime-trace=x", "-save-temps", "-save-temps=obj", "-Xclang", "-load", "-fplugin=x.so", "-fpass-plugin=x", "@args", "-om.o", "-Ia;b", "-DX=$(id)", "-DX=${Y}", "`id`", "--", "--config", "--config=x", "-Btools", "-specs=x", "-wrapper", "-add-plugin", "a&&b", "-Da\nb"])
+def test_dangerous_arguments_are_refused(bad):
+    assert build.syntax_command(_database(bad, "../s/m.cc"), "m.cc", *ROOTS) == ("argument", None, None, None)
+
+
+@pytest.mark.parametrize(
+    ("database", "source", "code"),
+    [
+        (None, "m.cc", "size"), ("{", "m.cc", "json"), ("[]", "m.cc", "json"), ("[1]", "m.cc", "json"), (_database("../s/m.cc"), None, "path"), (_database("../s/m.cc", directory="b"), "m.cc", "path"),
+        (_database("../s/m.cc", directory="/else"), "m.cc", "root"), (_database("../s/m.cc", file="/else/m.cc"), "m.cc", "root"), (_database("../s/m.cc"), "../m.cc", "root"), (_database("../s/m.cc"), "other.cc", "entry"),
+        (json.dumps(json.loads(_database("../s/m.cc")) * 2), "m.cc", "entry"), (_database("../s/m.cc", command="c++ x"), "m.cc", "form"), (_database("../s/m.cc", arguments=["python", "../s/m.cc"]), "m.cc", "compiler"),
+        (_database("../s/m.cc", arguments=["ccache"]), "m.cc", "compiler"), (_database("../s/m.cc", "-o"), "m.cc", "value"), (_database("../s/m.cc", "../s/m.cc"), "m.cc", "source"), (_database("-c"), "m.cc", "source"), (_database("", "../s/m.cc"), "m.cc", "form"),
+    ],
+)
+def test_databases_that_are_not_taken(database, source, code):
+    assert build.syntax_command(database, source, *ROOTS) == (code, None, None, None)
