@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomwright.llm import textvec as tv
 from loomwright.llm.fixed_tables import bit_map, is_marked, map_bits, merged
 from loomwright.llm.near_duplicates import as_lists, likeness_at_least, phrase_arrays
-from loomwright.session import staged
+from loomwright.session import staged, unstage
 
 #: Least and greatest number of the count's counters, as a power of two. Beyond what the greatest tells apart the
 #: order of rare phrases is by hash; those that stand everywhere still come last, which is what the order is for.
@@ -113,7 +113,9 @@ def crossing(records: DataFrame, columns: list[str], words: int = 4, threshold:
     seen = spark.sparkContext.broadcast(bit_map(marks, bits))
 
     def posts(d: DataFrame, who: str) -> DataFrame:
-        return d.select(F.explode("grams").alias("gram"), F.struct("k1", "k2").alias(who), F.col("n").alias(f"n_{who}")).distinct()
+        # copies are one class before their n-grams are unnested, so that each of these is shuffled once
+        classes = d.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+        return classes.select(F.explode("grams").alias("gram"), F.struct("k1", "k2").alias(who), F.col("n").alias(f"n_{who}"))
 
     hits = posts(ev, "e").join(posts(_hits(tr, seen, bits), "t"), "gram")
     hits = hits.where((F.least("n_e", "n_t") * t.denominator >= F.greatest("n_e", "n_t") * t.numerator))
@@ -123,18 +125,21 @@ def crossing(records: DataFrame, columns: list[str], words: int = 4, threshold:
         index.select("id", "side", "k1", "k2")
         .join(sets.select(F.explode(F.array("e", "t")).alias("k")).select("k.*").distinct(), ["k1", "k2"], "left_semi")
         .groupBy("k1", "k2").agg(F.min(F.struct("id", "side")).alias("at"))
-        .select(F.struct("k1", "k2").alias("k"), (F.col("at.id") * len(columns) + F.col("at.side")).alias("cid"), F.col("at.id").alias("id"), "at.side")
+        .select(F.struct("k1", "k2").alias("k"), (F.col("at.id") * len(columns) + F.col("at.side")).alias("cid"))
     )
     where = staged(where, "contents")
     pairs = sets.join(where.select(F.col("k").alias("e"), F.col("cid").alias("a")), "e").join(where.select(F.col("k").alias("t"), F.col("cid").alias("b")), "t")
-    texts = picked.join(where.select("id").distinct(), "id", "left_semi").join(where.select("id", "cid", "side"), "id")
-    text = F.element_at(F.array(*columns), F.col("side") + 1)
-    phr = staged(phrase_arrays(texts.select(F.col("cid").alias("id"), text.alias("text")), ["text"], words), "phrases")
-    like = staged(likeness_at_least(pairs, phr, t).select("e", "t", "shared", F.col("na").alias("phrases")), "like")
+    phrases = staged(phrase_arrays(picked, columns, words, where.select(F.col("cid").alias("id")), apart=True), "phrases")
+    like = staged(likeness_at_least(pairs, phrases, t).select("e", "t", "shared", F.col("na").alias("phrases")), "like")
+    for done in (phrases, where, sets):
+        unstage(done)
     who = lambda d, x, name: d.select(F.struct("k1", "k2").alias(x), F.col("id").alias(name)).distinct()
     both = like.join(who(ev, "e", "eval_id"), "e").join(who(tr, "t", "train_id"), "t")
     best = F.max(F.struct((F.col("shared") / F.col("phrases")).alias("share"), "shared", "phrases")).alias("b")
-    return both.groupBy("train_id", "eval_id").agg(best).select("train_id", "eval_id", "b.shared", "b.phrases")
+    found = staged(both.groupBy("train_id", "eval_id").agg(best).select("train_id", "eval_id", "b.shared", "b.phrases"), "overlaps")
+    unstage(like)
+    unstage(index)
+    return found
 
 
 def overlaps(train: DataFrame, evaluation: DataFrame, columns: list[str], words: int = 4, threshold: Fraction = Fraction(17, 20)) -> DataFrame:

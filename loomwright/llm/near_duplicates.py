@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import textvec as tv
 from loomwright.llm.components import components
-from loomwright.session import staged
+from loomwright.llm.fixed_tables import bit_map, is_marked, map_bits
+from loomwright.session import staged, unstage
 
 PERMUTATIONS = 80
 BAND_ROWS = 4
@@ -74,13 +75,27 @@ def signatures(df: DataFrame, key: str, columns: list[str], words: int, permutat
     return picked.mapInArrow(run, "id long, n int, k1 long, k2 long, bands array<long>")
 
 
-def phrase_arrays(df: DataFrame, columns: list[str], words: int) -> DataFrame:
-    """One row (id, phrases) for each row of ``df`` (id, columns): the distinct phrase hashes."""
+def phrase_arrays(df: DataFrame, columns: list[str], words: int, needed: DataFrame, apart: bool = False) -> DataFrame:
+    """(id, phrases) of the rows of ``df`` (id, columns) whose id is in ``needed`` (id): the distinct phrase hashes.
+
+    With ``apart`` each column is a content of its own, with the id ``id * columns + place``. The needed ids go to the
+    scan as a bit map, so no text is shuffled; a few rows that aren't needed come along by chance, for a join to leave out.
+    """
+    bits = map_bits(needed.count())
+    seen_cast = df.sparkSession.sparkContext.broadcast(bit_map(needed.select(F.array("id").alias("ids")), bits))
+    width = len(columns) if apart else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(seen_cast.value, np.uint8)
         for batch in batches:
-            sets = list(union_sets(batch, columns, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), as_lists(sets)], names=["id", "phrases"])
+            own = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False) * width
+            for side in range(width):
+                ids = own + side
+                keep = is_marked(seen, ids.view(np.uint64), bits)
+                if keep.any():
+                    part = batch.filter(pa.array(keep))
+                    sets = list(union_sets(part, [columns[side]] if apart else columns, words))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), as_lists(sets)], names=["id", "phrases"])
 
     return df.select("id", *columns).mapInArrow(run, "id long, phrases array<long>")
 
@@ -111,10 +126,13 @@ def _classes(df: DataFrame, key: str, columns: list[str], words: int, permutatio
 
 
 def _verified(df: DataFrame, key: str, columns: list[str], words: int, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """The candidate ``pairs`` (a, b; staged) that are like enough, with shared, na, nb."""
+    """The candidate ``pairs`` (a, b; staged, and dropped here) that are like enough, with shared, na, nb."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns]).join(needed, "id", "left_semi")
-    return staged(likeness_at_least(pairs, staged(phrase_arrays(texts, columns, words), "phrases"), threshold), "links")
+    texts = df.select(F.col(key).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns])
+    phrases = staged(phrase_arrays(texts, columns, words, needed), "phrases")
+    links = staged(likeness_at_least(pairs, phrases, threshold), "links")
+    unstage(phrases)
+    return links
 
 
 def classes_and_links(df: DataFrame, key: str, columns: list[str], words: int = 4, threshold: Fraction = Fraction(7, 10), permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -126,8 +144,10 @@ def classes_and_links(df: DataFrame, key: str, columns: list[str], words: int =
     has no link. Ids must be unique.
     """
     members, posts = _classes(df, key, columns, words, permutations, rows)
-    pairs = posts.alias("x").join(posts.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return members, _verified(df, key, columns, words, staged(pairs, "candidates"), threshold)
+    pairs = staged(posts.alias("x").join(posts.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "candidates")
+    links = _verified(df, key, columns, words, pairs, threshold)
+    unstage(pairs)
+    return members, links
 
 
 def groups(df: DataFrame, key: str, columns: list[str], words: int = 4, threshold: Fraction = Fraction(7, 10), permutations: int = PERMUTATIONS, rows: int = BAND_ROWS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import textvec as tv
 from loomwright.llm.fixed_tables import bit_map, is_marked, map_bits
-from loomwright.session import staged
+from loomwright.session import staged, unstage
 
 #: An anchor with more different contexts is compared through the windows' hashes, not within one task; the result is the same.
 GROUP_CONTEXTS = 2000
@@ -304,7 +304,10 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200) -> DataF
     w = Window.partitionBy("id").orderBy("s", "e")
     far = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     parted = spans.withColumn("new", F.when(far.isNull() | (F.col("s") > far), 1).otherwise(0)).withColumn("part", F.sum("new").over(w))
-    return parted.groupBy("id", "part").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).select("id", "span_start", "span_end")
+    out = staged(parted.groupBy("id", "part").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).select("id", "span_start", "span_end"), "spans")
+    for done in (repeated, found, sides, texts):
+        unstage(done)
+    return out
 
 
 def shared_share(df: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loomwright.llm import textvec as tv
 from loomwright.llm.components import canonical_repository
 from loomwright.llm.fixed_tables import bit_map, is_marked, map_bits
-from loomwright.session import staged
+from loomwright.session import staged, unstage
 
 #: A file is a copy if this share of its words, and at least this many, stand in whole lines in one file of another project.
 CONTAINED, CONTAINED_WORDS = 0.5, 16
@@ -231,7 +231,8 @@ def judge_files(pairs: DataFrame, repositories: DataFrame) -> DataFrame:
     facts = rooted.withColumn("rh", F.xxhash64("root")).withColumn("own", F.array_contains("names", short) & (short != ""))
     facts = facts.withColumn("kept", F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), F.array(*[F.lit(v) for v in VENDOR_FOLDERS])) & (F.size(parts) > 1))
     facts = staged(facts, "facts")
-    best = holders(seen.select("pair_id", "lines"), facts)
+    best = staged(holders(seen.select("pair_id", "lines"), facts), "holders")
+    unstage(seen)
     full = facts.join(best, "pair_id", "left")
     placed = ~F.col("own") & ((F.size("owners") > 0) | F.col("kept"))
     verdict = F.when(F.col("other").isNotNull() | placed, "vendored").when(F.col("kind").isNotNull(), F.col("kind")).otherwise("handwritten")
@@ -323,4 +324,5 @@ def holders(lines: DataFrame, facts: DataFrame) -> DataFrame:
     # pairs that no verdict can come from: of one project only, or neither foreign, nor named, nor older
     pairs = pairs.join(sides[0].select("cid_s", "lo_s", "hi_s"), "cid_s").join(wanted, "cid_s").join(sides[1].select("cid_t", "lo_t", "hi_t", "named_t", "old_t"), "cid_t")
     pairs = pairs.where(F.least("lo_s", "lo_t") != F.greatest("hi_s", "hi_t")).where(F.col("foreign_s") | F.col("named_t").isNotNull() | (F.col("old_t.age") < F.col("age_s")))
-    return near.unionByName(settle(staged(pairs.select("cid_s", "cid_t"), "rare"), rest))
+    pairs = staged(pairs.select("cid_s", "cid_t"), "rare")
+    return near.unionByName(settle(pairs, rest))
