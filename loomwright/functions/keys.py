@@ -142,3 +142,62 @@ def token_estimate(*texts: Column, base: int = 512) -> Column:
 def rate(count: Column, total: Column) -> Column:
     """count / total, and 0.0 of nothing."""
     return F.when(total > 0, count / total).otherwise(0.0)
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character above ASCII as ``\\uXXXX``, characters beyond 16 bits as two of them."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    point = lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long")
+    high = lambda n: F.floor((n - 0x10000) / 0x400) + 0xD800
+    wide = lambda n: F.when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high(n)), unit((n - 0x10000) % 0x400 + 0xDC00)))
+    escaped = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) < 128, c).otherwise(wide(point(c)))), "")
+    # only texts with such characters are taken apart
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(escaped)
+
+
+def has_part(path: Column, names: Sequence[str]) -> Column:
+    """Whether a folder of the path bears one of the names, case ignored; the file's own name doesn't count."""
+    parts = path_parts(path)
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.exists(folders, lambda x: F.lower(x).isin(*[n.lower() for n in names]))
+
+
+def is_named(path: Column, names: Sequence[str], suffixes: Sequence[str]) -> Column:
+    """Whether the file has one of the names, or one of the suffixes (case ignored)."""
+    return F.element_at(F.split(path, "/"), -1).isin(*names) | F.lower(file_suffix(path)).isin(*[x.lower() for x in suffixes])
+
+
+def record_url(url: Column, host: str, kind: str) -> Column:
+    """(repository, number) of an ``https`` address ``host/owner/repo/kind/number``, and of no other; else null."""
+    pattern = rf"^https://{host.replace('.', '[.]')}/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/{kind}/([1-9][0-9]*)/?$"
+    repo, number = F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2)
+    return F.when(url.rlike(pattern), F.struct(F.concat(F.lit(f"{host}/"), F.lower(repo)).alias("repository"), number.cast("long").alias("number")))
+
+
+def sampling_family(group: Column, path: Column, symbol: Column, anchor: Column) -> Column:
+    """``group|path|symbol`` in lower case, with the anchor's hash where there is no symbol; null if neither is there or
+    the path isn't safe."""
+    clean = F.lower(F.regexp_replace(F.regexp_replace(path, r"\\\\", "/"), "^/+|/+$", ""))
+    told = F.nullif(F.lower(F.trim(F.coalesce(symbol, F.lit("")))), F.lit(""))
+    tail = F.coalesce(told, F.when(anchor.rlike("^sha256:[0-9a-f]{64}$"), anchor))
+    good = (clean != "") & ~F.array_contains(F.split(clean, "/"), "..")
+    return F.when(good & tail.isNotNull(), F.concat_ws("|", group, clean, tail))
+
+
+def by_alias(c: Column, aliases: dict[str, str]) -> Column:
+    """The name that a value is an alias of, trimmed and case ignored; null for other values."""
+    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.try_element_at(table, F.lower(F.trim(c)))
+
+
+def exact_fields(raw: Column, fields: dict[str, str]) -> Column:
+    """Why a JSON object hasn't exactly these fields of these kinds, or null: ``json``, ``fields`` or ``kinds``.
+
+    Kinds are those of ``schema_of_variant``, as ``STRING`` or ``BIGINT``.
+    """
+    doc = F.try_parse_json(raw)
+    names = F.json_object_keys(raw)
+    kinds = F.lit(True)
+    for n, kind in fields.items():
+        kinds = kinds & (F.schema_of_variant(F.try_variant_get(doc, f"$.{n}", "variant")) == kind)
+    return F.when(doc.isNull() | names.isNull(), "json").when(F.array_sort(names) != F.array(*[F.lit(n) for n in sorted(fields)]), "fields").when(~F.coalesce(kinds, F.lit(False)), "kinds")

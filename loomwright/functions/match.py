@@ -57,10 +57,13 @@ def outputs_match(expected: str | None, actual: str | None, tolerance: str | Non
     return True
 
 
-_udf = F.udf(outputs_match, T.BooleanType(), useArrow=True)
+outputs_match_udf = F.udf(outputs_match, T.BooleanType(), useArrow=True)
 
 
 def outputs_match_column(expected: Column, actual: Column, tolerance: Column | None = None) -> Column:
-    """Texts that are equal octet for octet are settled in the JVM's part of the plan only if the caller filters
-    them first; the function itself is right for all."""
-    return _udf(expected, actual, tolerance if tolerance is not None else F.lit(None).cast("string"))
+    """``outputs_match`` of two columns. Equal and missing texts are settled in the JVM; only texts that differ go to the
+    Python function, which gets nulls in the place of the others."""
+    same = expected == actual
+    differ = F.coalesce(~same, F.lit(False))
+    asked = outputs_match_udf(F.when(differ, expected), F.when(differ, actual), tolerance if tolerance is not None else F.lit(None).cast("string"))
+    return F.coalesce(F.when(differ, asked).otherwise(same), F.lit(False))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomwright.operators.totals import join_nulls
 from loomwright.session import staged, unstage
 
 
@@ -25,10 +28,15 @@ def first_eligible(df: DataFrame, key: Sequence[str], order: Sequence[Column], r
 
 
 def rejects_before_accepted(df: DataFrame, key: Sequence[str], order: Sequence[Column], reason: Column) -> DataFrame:
-    """(reason, n) of the rows that a scan in order looks at before it accepts their key; later ones go unseen."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = df.withColumn("_r", reason).withColumn("_done", F.coalesce(F.max(F.col("_r").isNull()).over(w), F.lit(False)))
-    return seen.where("_r is not null and not _done").groupBy(F.col("_r").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """(reason, n) of the rows that a scan in order looks at before it accepts their key; later ones go unseen.
+
+    The place of each key's first accepted row is a minimum, taken in parts and joined back; ``order`` are ascending
+    values.
+    """
+    rows = df.select(*key, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_o"), reason.alias("_r"))
+    accepted = rows.groupBy(*key).agg(F.min(F.when(F.col("_r").isNull(), F.col("_o"))).alias("_first"))
+    seen = join_nulls(rows.where("_r is not null"), accepted, list(key)).where("_first is null or _o < _first")
+    return seen.groupBy(F.col("_r").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_rows(df: DataFrame, key: Sequence[str], order: Column, keep: Sequence[str], union: Sequence[str]) -> DataFrame:
@@ -43,28 +51,53 @@ def merge_rows(df: DataFrame, key: Sequence[str], order: Column, keep: Sequence[
     return first
 
 
+#: Open rows that one task can finish in order: some 100 bytes each. The result is the same as by further rounds.
+FINISH_ROWS = 200_000
+
+
 def greedy(df: DataFrame, ident: str, order: str, keys: Sequence[str]) -> DataFrame:
     """(ident, accepted) of every row: a row is accepted if no earlier accepted row shares any of its key values.
 
-    That is a scan with a set of seen values per key, recorded only on acceptance. It runs in rounds: of the rows
-    still open, those that are first for all their values are accepted, and those that share a value with an
-    accepted row are rejected; what is left goes on. The order must be total. A null key value is shared with none.
+    That is a scan with a set of seen values per key, recorded only on acceptance. Rows whose values nobody else has are
+    accepted at once. The others go in rounds: of the rows still open, those that are first for all their values are
+    accepted, and those that share a value with an accepted row are rejected. What a bounded task can hold is finished
+    there in order, so that a long chain of conflicts doesn't need as many rounds. The order must be total. A null key
+    value is shared with none.
     """
-    rows = staged(df.select(F.col(ident).alias("i"), F.col(order).alias("o"), *[F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)]), "open")
-    done: list[DataFrame] = []
     names = [f"k{n}" for n in range(len(keys))]
-    while not rows.isEmpty():
-        lead = F.lit(True)
-        look = rows
+    rows = staged(df.select(F.col(ident).alias("i"), F.col(order).alias("o"), *[F.col(k).cast("string").alias(n) for n, k in zip(names, keys, strict=True)]), "open")
+    done: list[DataFrame] = []
+    form = T.StructType([T.StructField("i", rows.schema["i"].dataType), T.StructField("accepted", T.BooleanType())])
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("o")
+        seen: list[set] = [set() for _ in names]
+        verdicts = []
+        for values in part[names].itertuples(index=False, name=None):
+            ok = not any(v is not None and v in s for v, s in zip(values, seen, strict=True))
+            if ok:
+                for v, s in zip(values, seen, strict=True):
+                    s.add(v)
+            verdicts.append(ok)
+        return pd.DataFrame({"i": part["i"], "accepted": verdicts})
+
+    while True:
+        look, lead, free = rows, F.lit(True), F.lit(True)
         for k in names:
             # groupBy with a map-side minimum, so a hot value costs one row per task
-            firsts = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias(f"{k}_o"))
+            firsts = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias(f"{k}_o"), F.count(F.lit(1)).alias(f"{k}_n"))
             look = look.join(firsts, k, "left")
             lead = lead & (F.col(f"{k}_o").isNull() | (F.col("o") == F.col(f"{k}_o")))
-        look = staged(look.withColumn("lead", lead).select("i", "o", *names, "lead"), "round")
-        won = look.where("lead")
-        rest = look.where("not lead")
-        lost = F.lit(False)
+            free = free & (F.coalesce(F.col(f"{k}_n"), F.lit(1)) == 1)
+        look = staged(look.withColumn("lead", lead).withColumn("free", free).select("i", "o", *names, "lead", "free"), "round")
+        done.append(look.where("free").select("i", F.lit(True).alias("accepted")))
+        open_rows = look.where("not free")
+        left = open_rows.count()
+        if left <= FINISH_ROWS:
+            if left:
+                done.append(open_rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(finish, form))
+            break
+        won, rest, lost = open_rows.where("lead"), open_rows.where("not lead"), F.lit(False)
         for k in names:
             taken = won.where(F.col(k).isNotNull()).select(k, F.lit(True).alias(f"{k}_t")).distinct()
             rest = rest.join(taken, k, "left")
@@ -73,7 +106,7 @@ def greedy(df: DataFrame, ident: str, order: str, keys: Sequence[str]) -> DataFr
         done += [won.select("i", F.lit(True).alias("accepted")), rest.where("lost").select("i", F.lit(False).alias("accepted"))]
         unstage(rows)
         rows = staged(rest.where("not lost").select("i", "o", *names), "open")
-    out = df.sparkSession.createDataFrame([], rows.select("i", F.lit(True).alias("accepted")).schema)
-    for d in done:
+    out = done[0]
+    for d in done[1:]:
         out = out.unionByName(d)
     return out.withColumnRenamed("i", ident)

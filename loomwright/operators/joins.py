@@ -85,3 +85,28 @@ def denied_by(names: Column, tokens_of: Column, exact: Sequence[str], aliases: S
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
     """Whether a text holds one of a fixed list of needles."""
     return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: text.contains(n))
+
+
+def fetch_each_once(source: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``source`` whose key is wanted, (key, found) of the wanted keys that aren't there exactly once)."""
+    ids = wanted.select(key).distinct()
+    got = source.join(ids, key, "left_semi")
+    counts = ids.join(source.groupBy(key).agg(F.count(F.lit(1)).alias("found")), key, "left")
+    return got, counts.select(key, F.coalesce("found", F.lit(0)).alias("found")).where("found <> 1")
+
+
+def consistent(base: DataFrame, parts: dict[str, tuple[DataFrame, Sequence[str]]], key: str) -> DataFrame:
+    """(key, problems) of the rows of ``base`` joined with several tables by key: sorted ``<part>:missing``, and
+    ``<part>:<field>`` where a field that both have differs (null equals null). Keys are unique in each part."""
+    out, problems = base, []
+    for name, (part, fields) in parts.items():
+        out = out.join(part.select(F.col(key), F.lit(True).alias(f"_{name}"), *[F.col(f).alias(f"_{name}_{f}") for f in fields]), key, "left")
+        problems.append(F.when(F.col(f"_{name}").isNull(), F.lit(f"{name}:missing")))
+        problems += [F.when(F.col(f"_{name}").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_{name}_{f}")), F.lit(f"{name}:{f}")) for f in fields]
+    return out.select(key, F.array_sort(F.array_compact(F.array(*problems))).alias("problems"))
+
+
+def unexpected(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """(key, status) of what a folder's listing and the entries expected in it don't have in common: ``missing`` or ``unexpected``."""
+    a, b = expected.select(key).distinct().withColumn("_e", F.lit(True)), found.select(key).distinct().withColumn("_f", F.lit(True))
+    return a.join(b, key, "full").where("_e is null or _f is null").select(key, F.when(F.col("_f").isNull(), "missing").otherwise("unexpected").alias("status"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.keys import rate
-from loomwright.operators.totals import with_running, with_totals
+from loomwright.operators.totals import join_nulls, with_running, with_totals
 
 
 def sliced(df: DataFrame, levels: Sequence[str], counts: dict[str, Column], rates: Sequence[str] = ()) -> DataFrame:
@@ -40,10 +41,24 @@ def funnel(df: DataFrame, terminal: Column, ranks: dict[str, int], stages: Seque
 
 
 def numeric_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """count, min, p25, median, p75, max, mean; quantiles are interpolated linearly."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("count"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"), F.avg(value).alias("mean"))
-    return out.select(*by, "count", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max", "mean")
+    """count, min, p25, median, p75, max, mean; quantiles are interpolated linearly.
+
+    Values are counted first, and a quantile is read off the running counts at the two places around it, so no group's
+    values are held together. A group without values has a count of 0 and nulls.
+    """
+    plain = df.groupBy(*by).agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = with_totals(with_running(counts, by, ["_v"], {"_u": "_c"}), by, {"_n": F.sum("_c")})
+    fractions = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    found = []
+    for name, f in fractions.items():
+        place = (F.col("_n") - 1) * F.lit(f)
+        for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            found.append(F.max(F.when((at < F.col("_u")) & (at >= F.col("_u") - F.col("_c")), F.col("_v").cast("double"))).alias(f"_{name}_{end}"))
+    ends = upto.groupBy(*by).agg(*found)
+    out = join_nulls(plain, ends, by, "left")
+    between = lambda name, f: F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (((F.col("count") - 1) * F.lit(f)) % 1)
+    return out.select(*by, "count", "min", *[between(n, f).alias(n) for n, f in fractions.items()], "max", "mean")
 
 
 def floor_percentile(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -166,11 +181,46 @@ def bootstrap(pairs: DataFrame, by: Sequence[str], before: str, after: str, orde
 
 
 def fingerprint(ids: Column) -> Column:
-    """SHA-256 of the sorted distinct ids, each with LF after it; of none the hash of the empty text."""
+    """SHA-256 of the sorted distinct ids, each with LF after it; of none the hash of the empty text. As an aggregate it
+    holds a group's set, so it is for groups of bounded size; ``set_fingerprint`` gives the same for any set."""
     s = F.array_sort(F.collect_set(ids))
     return F.sha2(F.when(F.size(s) > 0, F.concat(F.array_join(s, "\n"), F.lit("\n"))).otherwise(F.lit("")), 256)
 
 
+def set_fingerprint(df: DataFrame, ident: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., hash): per group the SHA-256 of its sorted distinct ids, each with LF after it.
+
+    The ids are made distinct in parts, sorted on disk where memory is short, and hashed as they stream by; nothing
+    holds a set. A hash over all of a group is a chain, so a group is one task's stream of its distinct ids;
+    ``fingerprint_sums`` is the one without such a chain. A group of null ids only has the hash of the empty text.
+    """
+    import hashlib
+
+    names = [f"_b{i}" for i in range(len(by))]
+    keyed = df.select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], F.col(ident).cast("string").alias("_i"))
+    ids = keyed.distinct() if by else keyed.where("_i is not null").distinct()
+    ids = ids.withColumn("_k", F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256) if by else F.lit(""))
+    sorted_ids = (ids.repartition("_k") if by else ids.repartition(1)).sortWithinPartitions("_k", F.col("_i").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, h = None, hashlib.sha256()
+        for batch in batches:
+            for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != key and key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([h.hexdigest()])], names=["_k", "hash"])
+                    h = hashlib.sha256()
+                key = k
+                if i is not None:
+                    h.update(i.encode("utf-8", "surrogatepass") + b"\n")
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([h.hexdigest()])], names=["_k", "hash"])
+
+    hashes = sorted_ids.select("_k", "_i").mapInArrow(run, "_k string, hash string")
+    if not by:
+        return hashes.agg(F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256)).alias("hash"))
+    return ids.select("_k", *names).distinct().join(hashes, "_k").select(*[F.col(n).alias(b) for b, n in zip(by, names, strict=True)], "hash")
+
+
 def fingerprint_sums(df: DataFrame, ident: str) -> DataFrame:
     """(n, a, b, c, d): sums of the four words of the distinct ids' hashes. The same for equal sets, in any order;
     it aggregates in parts, where ``fingerprint`` has to hold the whole set."""
@@ -178,3 +228,18 @@ def fingerprint_sums(df: DataFrame, ident: str) -> DataFrame:
     words = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(4)]
     one = df.select(ident).distinct().select(*[w.alias(x) for w, x in zip(words, "abcd", strict=True)])
     return one.agg(F.count("a").alias("n"), *[F.coalesce(F.sum(x), F.lit(0).cast("decimal(38,0)")).alias(x) for x in "abcd"])
+
+
+def shift_report(df: DataFrame, sample: str, first: str, second: str, labels: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """(measure, column, value): the total variation of each label column and the KS distance of each number column.
+
+    The columns are unpivoted, so all of one kind are measured in one pass.
+    """
+    pick = lambda cols, kind: df.select(F.col(sample).alias("_s"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("v")) for c in cols])).alias("x")).select("_s", "x.column", "x.v")
+    out = total_variation(pick(labels, "string"), "v", "_s", first, second, ["column"]).select(F.lit("tv").alias("measure"), "column", F.col("tv").alias("value"))
+    return out.unionByName(ks_distance(pick(numbers, "double"), "v", "_s", first, second, ["column"]).select(F.lit("ks").alias("measure"), "column", F.col("ks").alias("value")))
+
+
+def counters(df: DataFrame, by: Sequence[str], flags: dict[str, Column]) -> DataFrame:
+    """(by..., total, flags...): how many rows each condition holds for; one it is null for doesn't count."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.keys import nul_joined
 from loomwright.operators.totals import join_nulls, with_running, with_totals
-from loomwright.session import staged
+from loomwright.session import staged, unstage
 
 
 def hash_order(seed: str, key: Column) -> Column:
@@ -25,11 +25,15 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
 
 def capped(df: DataFrame, group: Sequence[str], order: Sequence[Column], cap: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows within their group's cap, (group..., n, overflow)); the cap may depend on the row's group."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    marked = df.withColumn("_rank", F.row_number().over(w)).withColumn("_cap", cap)
-    counts = df.withColumn("_cap", cap).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("_cap").alias("_cap"))
-    return marked.where("_rank <= _cap").drop("_rank", "_cap"), counts.select(*group, "n", F.greatest(F.lit(0), F.col("n") - F.col("_cap")).cast("long").alias("overflow"))
+    """(rows within their group's cap, (group..., n, overflow)); the cap may depend on the row's group.
+
+    Rows are cut to the greatest cap first, which the plan can do in each task before groups are sorted.
+    """
+    capped_rows = df.withColumn("_cap", cap)
+    counts = capped_rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("_cap").alias("_cap"))
+    most = capped_rows.agg(F.max("_cap")).first()[0] or 0
+    ranked = capped_rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rank") <= int(most))
+    return ranked.where("_rank <= _cap").drop("_rank", "_cap"), counts.select(*group, "n", F.greatest(F.lit(0), F.col("n") - F.col("_cap")).cast("long").alias("overflow"))
 
 
 def hash_sample(df: DataFrame, seed: str, key: Column, percent: int) -> DataFrame:
@@ -60,7 +64,7 @@ def stratum_prefix(df: DataFrame, stratum: str, order: Sequence[Column], quotas:
     spark = df.sparkSession
     q = spark.createDataFrame(sorted(quotas.items()), "stratum string, wanted long")
     w = Window.partitionBy(stratum).orderBy(*order)
-    ranked = df.withColumn("_n", F.row_number().over(w)).join(F.broadcast(q), F.col(stratum) == F.col("stratum"))
+    ranked = df.withColumn("_n", F.row_number().over(w)).join(q, F.col(stratum) == F.col("stratum"))
     picked = ranked.where("_n <= wanted").drop("_n", "wanted", "stratum") if stratum != "stratum" else ranked.where("_n <= wanted").drop("_n", "wanted")
     have = df.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
     short = q.join(have, "stratum", "left").select("stratum", "wanted", (F.col("wanted") - F.coalesce("n", F.lit(0))).alias("missing")).where("missing > 0")
@@ -134,3 +138,43 @@ def completed_prefix(df: DataFrame, group: Sequence[str], order: str, done: Colu
     marked = df.join(gap, list(group))
     before = F.col("_gap").isNull() | (F.col(order) < F.col("_gap"))
     return marked.groupBy(*group).agg(F.count_if(before).alias("prefix"), F.count_if(~before & done).alias("after_gap"))
+
+
+def fill_cells(df: DataFrame, ident: str, order: str, payload: str, family: str, cells: Sequence[tuple[str, str, Column, int]], per_family: int) -> DataFrame:
+    """(ident, split, cell): cells (split, name, condition, quota) are filled in turn, each by a scan of its rows in order.
+
+    A row is passed over if its payload is taken already, its family is in another split, or its family has ``per_family``
+    rows in this split. The scan runs in rounds: a row is sure once it is the first of its payload among the open rows and
+    no more rows of its family stand before it than the family has room for; rows of a taken payload or a full family
+    leave. What is accepted depends on earlier rows only, so the quota cuts the accepted rows in order. The order is total.
+    """
+    taken: DataFrame | None = None
+    for split, name, belongs, quota in cells:
+        rows = df.where(belongs).select(F.col(ident).alias("i"), F.col(order).alias("o"), F.col(payload).alias("p"), F.col(family).alias("f"))
+        room = F.lit(per_family)
+        if taken is not None:
+            rows = rows.join(taken.select("p").distinct(), "p", "left_anti")
+            rows = rows.join(taken.where(F.col("split") != split).select("f").distinct(), "f", "left_anti")
+            rows = rows.join(taken.where(F.col("split") == split).groupBy("f").agg(F.count(F.lit(1)).cast("int").alias("had")), "f", "left")
+            room = F.lit(per_family) - F.coalesce("had", F.lit(0))
+        rows = staged(rows.withColumn("room", room.cast("int")).where("room > 0").select("i", "o", "p", "f", "room"), "open")
+        sure: list[DataFrame] = []
+        while not rows.isEmpty():
+            # rows beyond the room of a family can wait: only its first ones are looked at, cut in each task
+            near = rows.withColumn("rank", F.row_number().over(Window.partitionBy("f").orderBy("o"))).where(F.col("rank") <= per_family).where("rank <= room")
+            first = rows.groupBy("p").agg(F.min("o").alias("first"))
+            won = staged(near.join(first, "p").where("o = first").select("i", "o", "p", "f"), "won")
+            sure.append(won)
+            used = won.groupBy("f").agg(F.count(F.lit(1)).cast("int").alias("used"))
+            left = rows.join(won.select("p").distinct(), "p", "left_anti").join(used, "f", "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0)))
+            done, rows = rows, staged(left.where("room > 0").select("i", "o", "p", "f", "room"), "open")
+            unstage(done)
+        if sure:
+            won = sure[0]
+            for x in sure[1:]:
+                won = won.unionByName(x)
+            got = staged(won.orderBy("o").limit(quota).select("i", "p", "f", F.lit(split).alias("split"), F.lit(name).alias("cell")), "cell")
+            taken = got if taken is None else taken.unionByName(got)
+    if taken is None:
+        return df.where("false").select(F.col(ident), F.lit("").alias("split"), F.lit("").alias("cell"))
+    return taken.select(F.col("i").alias(ident), "split", "cell")

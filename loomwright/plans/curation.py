@@ -176,9 +176,9 @@ def curation_flow(spark: SparkSession, d: str) -> DataFrame:
 
 @query("set_fingerprint", "select lang, sha256(coalesce(string_agg(distinct repository, chr(10) order by repository) || chr(10), '')) as hash from documents group by 1")
 def set_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    from loomwright.operators.metrics import fingerprint
+    from loomwright.operators import metrics
 
-    return table(spark, d, "documents").groupBy("lang").agg(fingerprint(F.col("repository")).alias("hash"))
+    return metrics.set_fingerprint(table(spark, d, "documents"), "repository", ["lang"])
 
 
 @query("set_fingerprint_sums", "with h as (select sha256(x::varchar) as h from (select distinct c_custkey as x from customer)) select count(*) as n, sum(('0x' || substr(h, 1, 8))::bigint)::varchar as a, sum(('0x' || substr(h, 9, 8))::bigint)::varchar as b, sum(('0x' || substr(h, 17, 8))::bigint)::varchar as c, sum(('0x' || substr(h, 25, 8))::bigint)::varchar as d from h")

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("curation", "selection", "measures", "checks", "texts", "relations", "records")
+_MODULES = ("curation", "selection", "measures", "checks", "texts", "relations", "records", "documents", "builds", "storage")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -89,14 +89,19 @@ def _clear() -> None:
         pass
 
 
+def keep_until_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    if not _folders:
+        atexit.register(_clear)
+    _folders.setdefault(spark.sparkContext.applicationId, set()).add(path)
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read again. Deterministic: the write is the only evaluation."""
     spark = df.sparkSession
-    if not _folders:
-        atexit.register(_clear)
     path = f"{checkpoint_folder(spark).rstrip('/')}/loomwright-{name}-{uuid.uuid4().hex}"
+    keep_until_end(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    _folders.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

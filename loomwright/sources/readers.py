@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,26 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no from 1, raw) of text files; a file is one record, so numbers are exact. For files that a task
-    can hold (shards); larger ones need no numbers or were written with them."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "raw"))
-    return rows.select("file", (F.col("i") + 1).alias("line_no"), "raw")
+    """(file, line_no from 1, raw) of text files of any size, whose lines end in LF.
+
+    A file is read in blocks, as any text is. A first pass counts each block's lines; the counts of the blocks before
+    (a row for each) give a block's first number, and a line's place in its block the rest.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("base"))
+    number = F.col("base") + F.col("id") - F.col("first") + 1
+    return rows.join(starts, ["path", "block"]).select(F.element_at(F.split("path", "/"), -1).alias("file"), number.alias("line_no"), F.col("value").alias("raw"))
+
+
+def strict_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
+    """JSON lines under a schema; an error that names file and line of the first malformed ones before anything is read."""
+    bad = malformed_lines(numbered_lines(spark, path)).orderBy("file", "line_no").limit(5).collect()
+    if bad:
+        raise ValueError("no JSON object: " + ", ".join(f"{r['file']}:{r['line_no']}" for r in bad))
+    return read_jsonl(spark, path, schema)
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:
@@ -40,9 +55,13 @@ def unknown_fields(raw: Column, known: Sequence[str]) -> Column:
 def read_shards(spark: SparkSession, path: str, schema: T.StructType | str, source: str, splits: dict[str, str]) -> DataFrame:
     """Gzip or plain shards with ``source``, ``shard`` and ``upstream_split`` (by what the file's name contains).
 
-    Gzip can't be divided, so rows are spread again right after the read if there are fewer files than cores.
+    Gzip can't be divided, so a shard is one task's read; where there are fewer files than cores, rows are spread again
+    right after it, for what follows to run on all of them.
     """
     df = spark.read.schema(schema).json(path).withColumn("shard", F.col("_metadata.file_name")).withColumn("source", F.lit(source))
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
     split = F.lit(None).cast("string")
     for part, name in reversed(list(splits.items())):
         split = F.when(F.col("shard").contains(part), name).otherwise(split)
@@ -75,15 +94,23 @@ def verified(spark: SparkSession, path: str, sha256: str, size: int | None = Non
     return path
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str], forbidden: Sequence[str] = ()) -> DataFrame:
-    """Only the columns asked for; missing or forbidden ones are an error before anything is read."""
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str], forbidden: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Only the columns asked for; missing or forbidden ones, or another number of rows than said, are an error before
+    anything is read (the count comes from the files' footers)."""
     df = spark.read.parquet(path)
     missing, banned = sorted(set(columns) - set(df.columns)), sorted(set(columns) & set(forbidden))
     if missing or banned:
         raise ValueError(f"missing columns {missing}, forbidden columns {banned}")
+    if rows is not None and (have := df.count()) != rows:
+        raise ValueError(f"{have} rows, not {rows}")
     return df.select(*columns)
 
 
+def select_assets(manifest: DataFrame, always: Sequence[str], kind: str, split: str, kinds: Sequence[str], splits: Sequence[str]) -> DataFrame:
+    """The rows of a manifest (name, kind, split) that are needed: names that always are, and the kinds and splits asked for."""
+    return manifest.where(F.col("name").isin(*always) | (F.col(kind).isin(*kinds) & F.col(split).isin(*splits)))
+
+
 def month_windows(spark: SparkSession, first: str, last: str, months: int, orders: Sequence[str]) -> DataFrame:
     """(start, end, sort): windows of some months from ``first`` to ``last`` (both included), each with every order."""
     d = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"interval {int(months)} month"))).alias("start"))
