@@ -54,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
     least = adjacency.groupBy("u").agg(F.min(F.struct("hv", "v")).alias("m"), F.first("hu").alias("hu"))
     seeds = least.where((F.col("hu") < F.col("m.hv")) | ((F.col("hu") == F.col("m.hv")) & (F.col("u") < F.col("m.v"))))
     frontier = staged(seeds.select(F.col("u").alias("node"), F.col("u").alias("label")), "frontier")
-    labelled, parts, meetings = frontier, [frontier], []
+    labelled, parts, meetings, rounds = frontier, [frontier], [], 0
     links = adjacency.select("u", "v")
     while True:
         arrived = frontier.join(links, frontier["node"] == links["u"]).select(F.col("v").alias("node"), "label").distinct()
@@ -68,7 +68,11 @@ def components(edges: DataFrame) -> DataFrame:
         frontier = step.where("fresh and label = mine").select("node", "label")
         if frontier.isEmpty():
             break
-        labelled = labelled.unionByName(frontier)
+        labelled, rounds = labelled.unionByName(frontier), rounds + 1
+        if rounds % 8 == 0:
+            # one table again, so that a round's plan doesn't grow with the rounds before it
+            labelled = staged(labelled, "labelled")
+            parts.append(labelled)
     small = meetings[0]
     for m in meetings[1:]:
         small = small.unionByName(m)
@@ -91,7 +95,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def canonical_repository(c: Column) -> Column:
-    """``host/owner/repo``: trimmed, lower case, without scheme, scp form, ``.git`` and outer slashes; else null."""
+    """``host/owner/repo``: trimmed, lower case, without http scheme, scp form, ``.git`` and outer slashes; else null.
+
+    This is the form by which the tables say when two spellings are one repository. The core's function of this name
+    reads more (other schemes, user names, deeper paths), which would make repositories here of values that name none.
+    """
     x = F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
     x = F.regexp_replace(x, r"^https?://", "")
     x = F.regexp_replace(x, r"^git@([^:/]+):", "$1/")

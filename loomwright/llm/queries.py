@@ -94,6 +94,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("piece_no = 1").select("id")
 
 
+def p4_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The exact round trip: pieces without their overlaps, put together again, and whether each is within the limits."""
+    limits = Limits()
+    own = F.decode(F.substring(F.encode("piece", "UTF-8"), F.col("overlap_octets") + 1, F.octet_length("piece")), "UTF-8")
+    pieces = p4_pieces(spark, d).select("id", "piece_no", own.alias("own"), ((F.col("lines") <= limits.lines) & (F.octet_length("piece") <= limits.octets)).alias("fits"))
+    # a text's pieces are no larger than the text, which one task held
+    whole = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "own"))).alias("x"), F.bool_and("fits").alias("within"))
+    return whole.select("id", F.md5(F.encode(F.array_join("x.own", ""), "UTF-8")).alias("digest"), "within")
+
+
 # --- 5: licences of files and repositories ---
 
 
@@ -136,6 +146,16 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return sets.join(splits, "component").select(F.col("id").alias("candidate_seq"), "component", "split")
 
 
+def p6_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each row's set lies in one split, and the row's split has its share of all rows (within a fiftieth)."""
+    rows = p6_splits(spark, d)
+    whole = rows.groupBy("component").agg((F.min("split") == F.max("split")).alias("together"))
+    total = rows.count()
+    share = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(table(spark, d, "split_target"), "split")
+    share = share.select("split", (F.abs(F.col("n") / total - F.col("share")) < 0.02).alias("near"))
+    return rows.join(whole, "component").join(share, "split").select("candidate_seq", "together", "near")
+
+
 # --- 7, 8: tokens and containers of 2,048 ---
 
 
@@ -147,6 +167,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "tokens", 2048)
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document is placed, in containers that aren't overfull, and divided only if it is over 2,048 itself."""
+    rows = staged(p8_containers(spark, d), "containers")
+    fill = rows.where("container is not null").groupBy("container").agg(F.sum("piece_size").alias("fill"))
+    each = rows.join(fill, "container", "left").groupBy("doc_id")
+    out = each.agg(F.bool_and(F.col("container").isNotNull()).alias("placed"), F.coalesce(F.max("fill") <= 2048, F.lit(True)).alias("fits"), ((F.count(F.lit(1)) == 1) | (F.sum("piece_size") > 2048)).alias("undivided"))
+    return out.select("doc_id", "placed", "fits", "undivided")
+
+
 # --- 9: shared spans ---
 
 
@@ -204,6 +233,40 @@ select id as candidate_seq from s where c in (select c from s group by c having
 """
 
 
+_P2_GROUPS = f"""
+with recursive pairs as ({_P2.strip().replace("with w as", "with w as", 1)}),
+edges as (select pair_id_a as u, pair_id_b as v from pairs union all select pair_id_b, pair_id_a from pairs),
+reach(u, v) as (select u, u from edges union select reach.u, edges.v from reach join edges on reach.v = edges.u),
+g as (select u as pair_id, min(v) as group_id from reach group by 1),
+w as (select pair_id, {_WORDS.format(c="old_contents")} as o, {_WORDS.format(c="new_contents")} as n from pair_source_a),
+p as (select pair_id, unnest({_PHRASES.format(w="o")}) as ph from w union select pair_id, unnest({_PHRASES.format(w="n")}) from w),
+k as (select pair_id, md5(string_agg(ph, chr(10) order by ph)) as k from p group by 1),
+c as (select pair_id, min(pair_id) over (partition by k) as class_id from k)
+select a.pair_id, coalesce(class_id, a.pair_id) as class_id, coalesce(group_id, a.pair_id) as group_id from pair_source_a a left join c using (pair_id) left join g using (pair_id)
+"""
+
+_P9 = """with w as (select doc_id, i, hash(substring(text, i, 200)) as h from documents, unnest(range(1, length(text) - 198)) r(i) where length(text) >= 200),
+s as (select h from w group by h having min(doc_id) <> max(doc_id)),
+m as (select doc_id, i from w semi join s using (h)),
+g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as new from m),
+r as (select doc_id, i, sum(new) over (partition by doc_id order by i) as p from g),
+spans as (select doc_id, min(i) - 1 as span_start, max(i) + 199 as span_end from r group by doc_id, p)
+"""
+
+_P9_CLEANED = r"""
+with x as (select doc_id, text, regexp_extract_all(text, '(?s).*?(?:\n|[.!?] |。)|.+$') as s from documents where text <> ''),
+s as (select doc_id, k, s[k] as sent from x, unnest(range(1, len(s) + 1)) r(k)),
+p as (select doc_id, k, sent, sum(length(sent)) over (partition by doc_id order by k) - length(sent) as pos from s),
+b as (select doc_id, k, pos from p union all select doc_id, max(k) + 1, sum(length(sent)) from p group by 1),
+e as (select a.doc_id, a.k, min(c.k) as m, min(c.pos) as upto, any_value(a.pos) as pos from p a join b c on c.doc_id = a.doc_id and c.k between a.k + 2 and a.k + 52 and c.pos - a.pos >= 50 group by a.doc_id, a.k),
+h as (select e.doc_id, k, m, md5(substring(text, (pos + 1)::bigint, (upto - pos)::bigint)) as h from e join x using (doc_id)),
+f as (select h, min(struct_pack(d := doc_id, k := k)) as first from h group by h),
+c as (select distinct h.doc_id, j from h join f using (h), unnest(range(h.k, h.m)) r(j) where struct_pack(d := h.doc_id, k := h.k) > f.first),
+t as (select p.doc_id, count(c.j) as removed, coalesce(string_agg(sent, '' order by p.k) filter (c.j is null), '') as text from p left join c on c.doc_id = p.doc_id and c.j = p.k group by 1)
+select doc_id, coalesce(removed, 0) as removed, length(coalesce(t.text, o.text)) as chars_kept, md5(coalesce(t.text, o.text)) as digest from documents o left join t using (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -215,13 +278,16 @@ def queries() -> dict[str, Query]:
         "p3_counts": p3_counts,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p4_rejoined": p4_rejoined,
         "p5_found": p5_found,
         "p5_licences": p5_licences,
         "p5_paths": p5_paths,
         "p6_found": p6_found,
         "p6_splits": p6_splits,
+        "p6_balanced": p6_balanced,
         "p7_ids": p7_ids,
         "p8_containers": p8_containers,
+        "p8_placed": p8_placed,
         "p9_found": p9_found,
         "p9_shared": p9_shared,
         "p9_cleaned": p9_cleaned,
@@ -237,5 +303,14 @@ def oracle_sql() -> dict[str, str]:
             from r left join h on h.y = r.pair_id where part in ('validation', 'test') group by 1, 2""",
         "p4_found": r"""select id from pair_source_b where (strlen(buggy_code) + 512) // 4 > 2048
             or length(buggy_code) - length(replace(buggy_code, chr(10), '')) + (case when buggy_code <> '' and right(buggy_code, 1) <> chr(10) then 1 else 0 end) > 200""",
+        "p2_groups": _P2_GROUPS,
+        "p3_containment": _P3.rstrip()[:-1].replace("select distinct x, y from", "select x, y, max(struct_pack(share := s / cb.n, s := s, n := cb.n)) as m from") + " group by 1, 2) select x as train_id, y as eval_id, m.s as shared, m.n as phrases, m.share as containment from f",
+        "p4_rejoined": r"""select id, md5(buggy_code) as digest, true as within from pair_source_b where (strlen(buggy_code) + 512) // 4 > 2048
+            or length(buggy_code) - length(replace(buggy_code, chr(10), '')) + (case when buggy_code <> '' and right(buggy_code, 1) <> chr(10) then 1 else 0 end) > 200""",
+        "p6_balanced": "select candidate_seq, true as together, true as near from pr_candidate",
         "p6_found": _P6,
+        "p8_placed": "select doc_id, coalesce(text <> '', false) as placed, true as fits, true as undivided from documents",
+        "p9_found": _P9 + "select doc_id, span_start, span_end from spans",
+        "p9_shared": _P9 + """select d.doc_id, coalesce(length(text), 0) as chars, coalesce(sum(span_end - span_start), 0)::bigint as shared_chars, count(span_end) as spans from documents d left join spans using (doc_id) group by 1, 2""",
+        "p9_cleaned": _P9_CLEANED,
     }
