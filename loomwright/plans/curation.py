@@ -98,7 +98,13 @@ def merge_provenance(spark: SparkSession, d: str) -> DataFrame:
     return out.select("candidate_id", "candidate_seq", "pr_number", F.coalesce(F.array_join("query_ids", ","), F.lit("")).alias("queries"))
 
 
-@query("greedy_dedup")
+@query(
+    "greedy_dedup",
+    """with recursive k as (select row_number() over (order by pair_id) as n, pair_id, 'p' || sha256(old_contents || chr(0) || new_contents) as p, 'c' || "commit" as c from pair_source_a where old_contents is not null and new_contents is not null),
+       g(n, pair_id, ok, seen) as (select 0::bigint, null::bigint, false, []::varchar[] union all
+         select k.n, k.pair_id, not list_contains(seen, p) and not coalesce(list_contains(seen, c), false), case when not list_contains(seen, p) and not coalesce(list_contains(seen, c), false) then list_concat(seen, [p, coalesce(c, p)]) else seen end from g join k on k.n = g.n + 1)
+       select pair_id, ok as accepted from g where n > 0""",
+)
 def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Commit pairs, each accepted unless an earlier accepted one has its payload or its commit."""
     rows = table(spark, d, "pair_source_a").where("old_contents is not null and new_contents is not null")

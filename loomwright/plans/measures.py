@@ -123,6 +123,21 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap(_paired(spark, d), ["slice"], "before", "after", "event_id")
 
 
+@query(
+    "bootstrap_bounds",
+    """with d as (select user_id % 3 as slice, (value * 1.1 > 32)::int - (value > 30)::int as d from events where value is not null)
+       select slice, count(*) as n, round(avg(d), 9) as observed, true as around, true as as_wide from d group by 1""",
+)
+def bootstrap_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The interval lies around the observed difference, and is as wide as its standard error says (within a tenth)."""
+    pairs = _paired(spark, d)
+    diff = F.col("after").cast("double") - F.col("before").cast("double")
+    spread = pairs.where(diff.isNotNull()).groupBy("slice").agg((F.stddev_pop(diff) / F.sqrt(F.count(F.lit(1)))).alias("error"))
+    found = metrics.bootstrap(pairs, ["slice"], "before", "after", "event_id").join(spread, "slice")
+    wide = F.abs((F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("error")) - 1) < 0.1
+    return found.select("slice", "n", F.round("observed", 9).alias("observed"), ((F.col("low") <= F.col("observed")) & (F.col("observed") <= F.col("high"))).alias("around"), wide.alias("as_wide"))
+
+
 _SHIFT = "select x.*, case when l_returnflag = 'R' then 'b' else 'a' end as side from lineitem x"
 
 

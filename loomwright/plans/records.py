@@ -65,7 +65,17 @@ def comparable_runs(spark: SparkSession, d: str) -> DataFrame:
     return nested.comparable(table(spark, d, "documents"), "source", ["lang", "kind"])
 
 
-@query("alternating_strata")
+@query(
+    "alternating_strata",
+    """with recursive r as (select doc_id, kind, repository, sha256(doc_id::varchar) as h from documents where repository is not null and kind is not null),
+       o as (select kind, repository, doc_id, row_number() over (partition by kind order by h, doc_id) as n from (select *, row_number() over (partition by kind, repository order by h, doc_id) as f from r) where f = 1),
+       q as (select kind, row_number() over (order by kind) - 1 as ix, list(struct_pack(u := repository, i := doc_id) order by n) as q, count(*) over () as strata from o group by kind),
+       t(step, place, id, taken) as (select 0::bigint, -1::bigint, null::bigint, []::varchar[] union all
+         select step + 1, case when list_filter(q, lambda x: not list_contains(taken, x.u))[1] is null then place else place + 1 end, list_filter(q, lambda x: not list_contains(taken, x.u))[1].i,
+           case when list_filter(q, lambda x: not list_contains(taken, x.u))[1] is null then taken else list_append(taken, list_filter(q, lambda x: not list_contains(taken, x.u))[1].u) end
+         from t join q on q.ix = t.step % q.strata where place < 39 and step < 4000)
+       select id as doc_id, place::int as place from t where id is not null""",
+)
 def alternating_strata(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("repository is not null and kind is not null").select("doc_id", "kind", "repository", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
     return nested.alternate(rows, "kind", "repository", "doc_id", "h", 40)

@@ -45,7 +45,13 @@ def bare_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "repository_item").select("repository", k.bare_name(F.col("full_name")).alias("bare"))
 
 
-@query("closing_references")
+@query(
+    "closing_references",
+    r"""with x as (select pair_id, coalesce(message, '') as m, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(repository)), '^[a-z+]+://(?:[^/@]*@)?', ''), '^git@([^:/]+):', '\1/'), '^/+|/+$', '', 'g'), '\.git$', '') as r,
+       '(?i)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b\s*:?\s*(?:([\w.-]+/[\w.-]+))?#(\d+)\b' as q from pair_source_a),
+       y as (select pair_id, case when len(string_split(r, '/')) >= 3 then array_to_string(list_slice(string_split(r, '/'), -2, -1), '/') else '' end as own, list_zip(regexp_extract_all(m, q, 1), regexp_extract_all(m, q, 2)) as z from x)
+       select pair_id, list_sort(list_distinct(list_transform(list_filter(z, lambda v: v[1] = '' or lower(v[1]) = own), lambda v: v[2]::bigint))) as closes from y""",
+)
 def closing_references(spark: SparkSession, d: str) -> DataFrame:
     own = F.regexp_replace(k.canonical_repository(F.col("repository")), "^[^/]+/", "")
     return table(spark, d, "pair_source_a").select("pair_id", k.closing_references(F.coalesce("message", F.lit("")), F.coalesce(own, F.lit(""))).alias("closes"))
