@@ -145,14 +145,12 @@ def rate(count: Column, total: Column) -> Column:
 
 
 def ascii_json(text: Column) -> Column:
-    """JSON text with every character above ASCII as ``\\uXXXX``, characters beyond 16 bits as two of them."""
-    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
-    point = lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long")
-    high = lambda n: F.floor((n - 0x10000) / 0x400) + 0xD800
-    wide = lambda n: F.when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high(n)), unit((n - 0x10000) % 0x400 + 0xDC00)))
-    escaped = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.ascii(c) < 128, c).otherwise(wide(point(c)))), "")
+    """JSON text with every character that isn't printable ASCII as ``\\uXXXX``, one for each 16-bit unit."""
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(text, "UTF-16BE"))), F.lit("[0-9a-f]{4}"), F.lit(0))
+    plain = lambda u: F.char(F.conv(u, 16, 10).cast("int"))
+    escaped = F.array_join(F.transform(units, lambda u: F.when(u <= "007e", plain(u)).otherwise(F.concat(F.lit("\\u"), u))), "")
     # only texts with such characters are taken apart
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(escaped)
+    return F.when((F.octet_length(text) == F.char_length(text)) & ~text.contains("\x7f"), text).otherwise(escaped)
 
 
 def has_part(path: Column, names: Sequence[str]) -> Column:

@@ -109,10 +109,10 @@ def file_lists(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("source", "page", F.size("files").cast("long").alias("files"), projection.file_list(F.col("files"), 1000, k.is_safe_path)["reason"].alias("reason"))
 
 
-@query("ascii_payloads", "select doc_id, sha256(text) is not null as plain from documents where text is not null and strlen(text) = length(text)")
+@query("ascii_payloads", "select doc_id, sha256(text) is not null as plain from documents where text is not null and strlen(text) = length(text) and not contains(text, chr(127))")
 def ascii_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Texts of ASCII are the same in ASCII-escaped JSON; the escapes of the others have a test of their own."""
-    rows = table(spark, d, "documents").where("text is not null and octet_length(text) = char_length(text)")
+    rows = table(spark, d, "documents").where("text is not null and octet_length(text) = char_length(text) and not contains(text, char(127))")
     return rows.select("doc_id", (k.ascii_json(F.col("text")) == F.col("text")).alias("plain"))
 
 

@@ -94,7 +94,7 @@ def test_cells_are_filled_as_by_one_scan(spark, seed):
 
 
 def test_json_with_ascii_only(spark):
-    texts = ['{"a":"é日🙂"}', "plain", "", None, "\U0010ffff"]
+    texts = ['{"a":"é日🙂"}', "plain", "", None, "\U0010ffff", "a\x7fb", "~ é"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(keys.ascii_json(F.col("t"))).collect()]
     assert got == [None if t is None else json.dumps(t, ensure_ascii=True)[1:-1].replace('\\"', '"') for t in texts]
