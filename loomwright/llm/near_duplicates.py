@@ -161,13 +161,15 @@ def groups(df: DataFrame, key: str, columns: list[str], words: int = 4, threshol
     posts = staged(posts, "bands")
     lead = posts.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     star = posts.join(lead, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = _verified(df, key, columns, words, staged(star, "stars"), threshold).select("a", "b")
+    star = staged(star, "stars")
+    links = _verified(df, key, columns, words, star, threshold).select("a", "b")
 
     def joined(links: DataFrame) -> DataFrame:
         c = components(links.select(F.col("a").cast("string").alias("u"), F.col("b").cast("string").alias("v"))).select(F.col("node").cast("long").alias("id"), "component")
         return c.join(c.groupBy("component").agg(F.min("id").alias("g")), "component").select("id", "g")
 
-    grouped = posts.join(joined(links), "id", "left").select("id", "band", F.coalesce("g", "id").alias("g"))
+    first = staged(joined(links), "groups")
+    grouped = posts.join(first, "id", "left").select("id", "band", F.coalesce("g", "id").alias("g"))
     apart = grouped.groupBy("band").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band")
     grouped = staged(grouped.join(apart, "band", "left_semi"), "apart")
     bands = grouped.select("band", "g").distinct()
@@ -177,8 +179,16 @@ def groups(df: DataFrame, key: str, columns: list[str], words: int = 4, threshol
     # the stars' pairs have been compared
     left = staged(left.join(star, ["a", "b"], "left_anti"), "across")
     more = _verified(df, key, columns, words, left, threshold).select("a", "b")
-    found = joined(links.unionByName(more))
-    return members.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "class_id", F.coalesce("g", "class_id").alias("group_id"))
+    out = members.join(first.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "class_id", F.coalesce("g", "class_id").alias("group_id"))
+    if not more.isEmpty():
+        # only the groups that these links join are put together, not their members again
+        of = lambda x: first.select(F.col("id").alias(x), F.col("g").alias(f"g{x}"))
+        met = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")).distinct()
+        upper = joined(met).select(F.col("id").alias("group_id"), F.col("g").alias("top"))
+        out = out.join(upper, "group_id", "left").select("id", "class_id", F.coalesce("top", "group_id").alias("group_id"))
+    unstage(posts)
+    unstage(left)
+    return out
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_pairs_equal_brute_force(spark, seed):
         assert got[i] == (min(same) if same else i)
 
 
-@pytest.mark.parametrize("seed", [5, 6])
+@pytest.mark.parametrize("seed", [5])
 def test_groups_equal_brute_force(spark, seed):
     rows = corpus(seed)
     sets = {i: phrases(a, b) for i, a, b in rows}

@@ -118,33 +118,33 @@ def test_hot_lines_are_salted(spark, monkeypatch):
     assert {p for p, v in got.items() if v == "vendored"} == set(range(2, 13))
 
 
-@pytest.mark.parametrize("k", [3, 5, 10, 20])
 @pytest.mark.parametrize("pointed", [0.2, 2.0])
-def test_all_edited_copies_are_found(spark, monkeypatch, k, pointed):
+def test_all_edited_copies_are_found(spark, monkeypatch, pointed):
     monkeypatch.setattr(s, "POINTED", pointed)
     # copies hold 55 to 65 of 100 lines of their source, each another part, and stand in k projects
-    lib = [f"static int library_function_number_{i}(int a, int b);" for i in range(100)]
-    rows = [(1, "h/o/source", "src/a.c", "\n".join(lib), "2019-01-01")]
-    for c in range(k):
-        own = {(c * 13 + j * 7) % 100 for j in range(35 + c % 11)}
-        rows.append((c + 2, f"h/p{c}/r{c}", "src/a.c", "\n".join(f"static int edited_{c}_function_number_{i}(long x);" if i in own else x for i, x in enumerate(lib)), f"2020-01-{c + 1:02d}"))
+    rows, want = [], set()
+    for k in (3, 5, 10, 20):
+        lib = [f"static int library_{k}_function_number_{i}(int a, int b);" for i in range(100)]
+        rows.append((len(rows) + 1, "h/o/source", "src/a.c", "\n".join(lib), "2019-01-01"))
+        for c in range(k):
+            own = {(c * 13 + j * 7) % 100 for j in range(35 + c % 11)}
+            rows.append((len(rows) + 1, f"h/p{k}_{c}/r{c}", "src/a.c", "\n".join(f"static int edited_{c}_of_{k}_function_number_{i}(long x);" if i in own else x for i, x in enumerate(lib)), f"2020-01-{c + 1:02d}"))
+            want.add(len(rows))
     got = {r["pair_id"]: r["verdict"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
-    assert {p for p, v in got.items() if v == "vendored"} == set(range(2, k + 2))
+    assert {p for p, v in got.items() if v == "vendored"} == want
 
 
-def test_common_header_makes_no_copy(spark):
+def test_headers_and_short_files(spark):
     header = "/*\n" + "".join(f" * The users of this file may do so under the rule number {i} of the house of this project.\n" for i in range(12)) + " */\n"
-    rows = [(i, f"h/o{i}/r{i}", "src/a.c", header + "".join(f"int function_{i}_of_its_own_{j}(int a, char *b);\n" for j in range(8)), f"2020-01-0{i}") for i in (1, 2)]
-    got = {r["pair_id"]: r["verdict"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
-    assert got == {1: "handwritten", 2: "handwritten"}
-
-
-def test_short_files_of_short_or_long_lines_are_compared(spark):
+    own = lambda i: header + "".join(f"int function_{i}_of_its_own_{j}(int a, char *b);\n" for j in range(8))
     lines = "".join(f"#define K{i} {i}\n" for i in range(9))
     one = "var a=" + "+".join(f"f{i}(x{i})" for i in range(80))
     rows = [(1, "h/a/a", "a.h", lines, "2020-01-01"), (2, "h/b/b", "b.h", lines, "2020-01-02"), (3, "h/a/a", "a.js", one, "2020-01-01"), (4, "h/b/b", "b.js", one, "2020-01-02"), (5, "h/c/c", "c.h", "int x;\n", "2020-01-01"), (6, "h/d/d", "d.h", "int x;\n", "2020-01-02")]
-    got = {r["pair_id"]: r["of_pair"] for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
-    assert got == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None}
+    rows += [(7, "h/e/e", "src/a.c", own(7), "2020-01-01"), (8, "h/f/f", "src/a.c", own(8), "2020-01-02")]
+    got = {r["pair_id"]: (r["verdict"], r["of_pair"]) for r in s.judge_files(_rows(spark, rows), spark.createDataFrame([], NO_REPOSITORIES)).collect()}
+    assert {p: x for p, (_, x) in got.items()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None, 7: None, 8: None}
+    # a common header makes no copy
+    assert got[7][0] == got[8][0] == "handwritten"
 
 
 @pytest.mark.parametrize("text", ["{\n" + "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12,\n" * 3 + "}\n", "x" * 400])
