@@ -319,10 +319,9 @@ def shared_share(df: DataFrame, key: str, text: str, spans: DataFrame) -> DataFr
 
 def _bounds(text: str) -> np.ndarray:
     """Where the sentences of a text begin, with its end as the last."""
-    points = _points([text])[0]
-    inner = sentence_starts(points) if len(points) > 2 else np.zeros(0, np.int64)
-    # a text of one sign and a line end begins its second line at its end
-    return np.concatenate([[0], inner[inner < len(points)], [len(points)]])
+    # two places in front, so that a sentence can begin at the text's second one
+    inner = sentence_starts(np.concatenate([np.zeros(2, np.uint32), _points([text])[0]])) - 2
+    return np.concatenate([[0], inner[(inner > 0) & (inner < len(text))], [len(text)]])
 
 
 def _text_runs(text: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
