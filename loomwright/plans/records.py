@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.operators import nested
+from loomwright.functions import keys
+from loomwright.operators import nested, select
+from loomwright.operators.totals import with_running
 from loomwright.plans.registry import query
 from loomwright.session import table
 
@@ -112,3 +114,35 @@ def numbered_tests(spark: SparkSession, d: str) -> DataFrame:
     p = Window.partitionBy("problem")
     rows = table(spark, d, "tests").where("problem_id is not null").select("id", F.lower("problem_id").alias("problem"))
     return rows.select("id", "problem", (F.row_number().over(p.orderBy("id")) - 1).alias("ord"), F.count(F.lit(1)).over(p).alias("tests"))
+
+
+@query("canonical_samples", """select 'b:' || lpad((row_number() over (order by id) - 1)::varchar, 6, '0') as sample_id, id, sha256('{"code":"' || sha256(buggy_code) || '","problem":"' || problem_id || '"}') as provenance from pair_source_b where problem_id is not null and buggy_code <> '' and fixed_code <> '' and buggy_code <> fixed_code""")
+def canonical_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Records as samples with an ordinal in a fixed order and a hash of where they come from."""
+    rows = table(spark, d, "pair_source_b").where("problem_id is not null and buggy_code <> '' and fixed_code <> '' and buggy_code <> fixed_code")
+    slim = rows.select("id", F.sha2(keys.canonical_object({"problem": F.col("problem_id"), "code": F.sha2("buggy_code", 256)}), 256).alias("provenance"), F.lit(1).alias("one"))
+    numbered = with_running(slim, [], ["id"], {"n": "one"})
+    return numbered.select(F.concat(F.lit("b:"), F.lpad((F.col("n") - 1).cast("string"), 6, "0")).alias("sample_id"), "id", "provenance")
+
+
+@query(
+    "preference_rows",
+    """with r as (select user_id, event_id, event_type, value, row_number() over (partition by user_id order by value desc, event_id) as b, row_number() over (partition by user_id order by value, event_id) as w from events where value is not null)
+       select 'user ' || c.user_id as prompt, c.event_type || ':' || c.event_id as chosen, x.event_type || ':' || x.event_id as rejected from r c join r x on c.user_id = x.user_id and c.b = 1 and x.w = 1 and c.value <> x.value""",
+)
+def preference_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Prompt, chosen and rejected of each group's best and worst."""
+    rows = table(spark, d, "events").where("value is not null")
+    ends = select.best_and_worst(rows, ["user_id"], ["value"], "event_id")
+    said = lambda x: rows.select(F.col("event_id").alias(f"{x}_index"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias(x))
+    both = ends.join(said("best"), "best_index").join(said("worst"), "worst_index")
+    return both.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("prompt"), F.col("best").alias("chosen"), F.col("worst").alias("rejected"))
+
+
+@query("filled_cells")
+def filled_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of splits and kinds filled in turn: a text once, a repository in one split and at most twice there."""
+    rows = table(spark, d, "documents").where("text <> '' and repository is not null and kind is not null").select("doc_id", "kind", "repository", F.sha2("text", 256).alias("payload"))
+    kinds = ("readme", "review_comment", "build_log")
+    cells = [(split, kind, F.col("kind") == kind, quota) for split, quota in (("validation", 5), ("train", 40)) for kind in kinds]
+    return select.fill_cells(rows, "doc_id", "doc_id", "payload", "repository", cells, 2)
