@@ -91,34 +91,49 @@ def anchors(points: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     first, count = offsets[:-1][long], sizes[long] - length + 1
     skip = np.concatenate([[0], np.cumsum(count)])
     window = np.repeat(first - skip[:-1], count) + np.arange(skip[-1])
-    at, h = np.empty(len(window), np.int64), np.empty(len(window), np.uint64)
     if not len(window):
-        return window, at, h
+        return window, np.empty(0, np.int64), np.empty(0, np.uint64)
     starts = sentence_starts(points)
     ends = sentence_runs(starts, length // 4)
     starts = starts[: len(ends)]
-    # starts before a window's third place, and ends up to its end
-    lo = np.cumsum(np.bincount(starts, minlength=len(points) + 1))[window + 1]
-    hi = np.cumsum(np.bincount(ends, minlength=len(points) + 1))[window + length] - 1
+    # the runs inside a window change only where a window begins to pass a run's start or to reach one's end
+    turns = np.concatenate([starts - 1, ends - length])
+    text = np.searchsorted(first, turns, side="right") - 1
+    inside = (text >= 0) & (turns - first[text] < count[text])
+    begin = np.unique(np.concatenate([skip[:-1], (skip[text] + turns - first[text])[inside]]))
+    many = np.diff(np.append(begin, len(window)))
+    lo = np.searchsorted(starts, window[begin] + 2)
+    hi = np.searchsorted(ends, window[begin] + length, side="right") - 1
     held = hi >= lo
+    at, h = np.empty(len(begin), np.int64), np.empty(len(begin), np.uint64)
     if held.any():
         keys = _run_hashes(points, starts, ends)
         best = _least_in(keys, lo[held], hi[held])
         at[held], h[held] = 2 * starts[best], keys[best]
-    bare = ~held
-    if bare.any():
+    at, h = np.repeat(at, many), np.repeat(h, many)
+    bare = np.flatnonzero(np.repeat(~held, many))
+    if len(bare):
         where, stretch = _stretches(points, window[bare], length)
         at[bare], h[bare] = 2 * where + 1, stretch
     return window, at, h
 
 
 def _stretches(points: np.ndarray, window: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each window's stretch: of half its length, first in a fixed order that prefers sentence starts."""
+    """(start, hash) of each window's stretch: of half its length, first in a fixed order that prefers sentence starts.
+
+    Only the parts of the text that lie under these windows are looked at: each row of windows with its characters.
+    """
     size = length // 2
     reach = length - size - 1  # stretches that can be the anchor: those from 2 on, whose start's look-back is inside
-    h = _grams(points, size)
-    opens = np.zeros(len(points) + 1, bool)
-    opens[sentence_starts(points)] = True
+    row = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1] + 1]))
+    wide = np.diff(np.append(row, len(window))) + length - 1
+    cut = np.concatenate([[0], np.cumsum(wide)])
+    part = points[np.repeat(window[row] - cut[:-1], wide) + np.arange(cut[-1])]
+    shift = np.repeat(window[row] - cut[:-1], wide - length + 1)
+    own = window - shift
+    h = _grams(part, size)
+    opens = np.zeros(len(part) + 1, bool)
+    opens[sentence_starts(part)] = True
     bits = max(24, int(len(h)).bit_length())
     key = (h >> np.uint64(1)) | np.where(opens[: len(h)], np.uint64(0), np.uint64(1 << 63))
     key = (key >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64)
@@ -127,8 +142,8 @@ def _stretches(points: np.ndarray, window: np.ndarray, length: int) -> tuple[np.
     ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     behind = np.minimum.accumulate(grid, axis=1).reshape(-1)
     least = np.minimum(ahead[: len(key) - reach + 1], behind[reach - 1 : len(key)])
-    at = (least[window + 2] & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return at, h[at]
+    at = (least[own + 2] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return at + shift, h[at]
 
 
 def _portions(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -181,13 +196,12 @@ def _contexts(docs: DataFrame, length: int, seen_cast: object, bits: int) -> Dat
                 window, at, h = anchors(points, offsets, length)
                 if not len(at):
                     continue
-                row = np.searchsorted(offsets, window, side="right") - 1
-                new = np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
-                first = np.flatnonzero(new)
+                # an anchor lies in its window, so windows of two texts never have the same
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                row = np.searchsorted(offsets, window[first], side="right") - 1
                 last = np.append(first[1:], len(at)) - 1
                 keep = is_marked(seen, h[first], bits)
-                for f, e in zip(first[keep].tolist(), last[keep].tolist(), strict=True):
-                    r = int(row[f])
+                for f, e, r in zip(first[keep].tolist(), last[keep].tolist(), row[keep].tolist(), strict=True):
                     a, b = int(window[f] - offsets[r]), int(window[e] - offsets[r]) + length
                     out[0].append(int(h[f].view(np.int64)))
                     out[1].append(int(ids[r]))
